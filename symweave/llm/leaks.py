@@ -52,9 +52,10 @@ def words_of(text: str | None) -> list[str]:
 
 
 def seeds(words: np.ndarray, telling: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of all seeds of a text whose words are numbers above 0 and whose
+    """Hashes and places of all seeds of a text given as numbers of words.
 
-    counted words hold at least one that tells items apart. Number 0 is a word of no item.
+    The words that a seed counts are words of items, one at least of which tells items apart; number
+    0 is a word of no item.
     """
     out_h, out_p = [], []
     for k, mask in enumerate(MASKS):
@@ -74,7 +75,7 @@ def seeds(words: np.ndarray, telling: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def overlap(item: np.ndarray, text: np.ndarray, diagonal: int, weight: np.ndarray) -> tuple[int, int, float, float]:
-    """Of the best aligned stretch along a diagonal: item words covered, equal words, their weight, weight covered.
+    """Of the best aligned stretch along a diagonal: item words covered, equal ones, and the weight of the equal and of all.
 
     A match counts 1, a changed word -2, and so does each move to a neighbouring diagonal.
     """
@@ -102,19 +103,19 @@ def overlap(item: np.ndarray, text: np.ndarray, diagonal: int, weight: np.ndarra
     return best[1], best[2], best[3], best[4]
 
 
-def is_leak(item: np.ndarray, text: np.ndarray, diagonals: list[int], weight: np.ndarray) -> bool:
+def is_leak(item: np.ndarray, text: np.ndarray, diagonals: list[int], telling: np.ndarray) -> bool:
     """Whether a stretch of at least twelve words of the item is in the text.
 
-    Most words must be equal, and of the weight (rare words weigh more) as well, so that another
-    instance of a common sentence pattern, or a stock phrase, is none.
+    Most words must be equal, and of the words that tell items apart most as well and two at
+    least, so that another instance of a common sentence pattern, or a stock phrase, is none.
     """
     done: list[int] = []
     for d in sorted(diagonals):
         if done and d - done[-1] <= 1:
             continue
         done.append(d)
-        n, same, same_weight, all_weight = overlap(item, text, d, weight)
-        if n >= LEAST_WORDS and same >= 0.75 * n and same_weight >= 0.6 * all_weight and same_weight >= 12:
+        n, same, same_told, told = overlap(item, text, d, telling)
+        if n >= LEAST_WORDS and same >= 0.75 * n and same_told >= max(2, 0.6 * told):
             return True
     return False
 
@@ -157,7 +158,6 @@ def _leaked_block(documents: DataFrame, fields: DataFrame) -> DataFrame:
     n_items = max(1, fields.select("item_id").distinct().count())
     number = {r["word"]: k + 1 for k, r in enumerate(rows)}
     df = np.array([n_items] + [r["df"] for r in rows], float)
-    weight = np.log(1 + n_items / df)
     telling = df <= max(2.0, 0.05 * n_items)
     telling[0] = False
 
@@ -215,7 +215,7 @@ def _leaked_block(documents: DataFrame, fields: DataFrame) -> DataFrame:
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             good = [
-                is_leak(np.asarray(w), np.asarray(t), [int(x) for x in d], weight[np.asarray(w)])
+                is_leak(np.asarray(w), np.asarray(t), [int(x) for x in d], telling[np.asarray(w)])
                 for w, t, d in zip(b["words"], b["text_words"], b["diagonals"])
             ]
             yield b.loc[np.array(good, bool), ["doc_id", "item_id"]]
