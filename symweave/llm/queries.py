@@ -6,9 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symweave.llm.leaks import leaked
+from symweave.llm.neighbours import nearest, pairs
 from symweave.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of symbols of which one at least is among the ten nearest of the other."""
+    vectors = table(spark, d, "vec_symbols").select(F.col("symbol_id").alias("id"), "embedding")
+    return pairs(nearest(vectors, width=384))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that repeat passages of evaluation items, with the items."""
     return leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
@@ -21,5 +28,5 @@ def p7_leaks_by_item(spark: SparkSession, d: str) -> DataFrame:
     return items.join(per_item, "item_id", "left").select("item_id", "task", F.coalesce("documents", F.lit(0)).alias("documents"))
 
 
-QUERIES = {"p7_found": p7_found, "p7_leaks_by_item": p7_leaks_by_item}
+QUERIES = {"p1_found": p1_found, "p7_found": p7_found, "p7_leaks_by_item": p7_leaks_by_item}
 ORACLES: dict[str, str] = {}
