@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from symweave.llm.handwritten import classified
 from symweave.llm.leaks import leaked
 from symweave.llm.neighbours import nearest, pairs
 from symweave.session import table
@@ -16,6 +17,20 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs(nearest(vectors, width=384))
 
 
+def _origins(spark: SparkSession, d: str) -> DataFrame:
+    return classified(table(spark, d, "indexed_files"), table(spark, d, "file_heads"), table(spark, d, "vendor_checksums"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Files that nobody of the project wrote by hand."""
+    return _origins(spark, d).where("origin <> 'handwritten'").select("file_path")
+
+
+def p4_origins(spark: SparkSession, d: str) -> DataFrame:
+    """Every file with where it comes from."""
+    return _origins(spark, d).select("file_path", "origin")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that repeat passages of evaluation items, with the items."""
     return leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
@@ -28,5 +43,5 @@ def p7_leaks_by_item(spark: SparkSession, d: str) -> DataFrame:
     return items.join(per_item, "item_id", "left").select("item_id", "task", F.coalesce("documents", F.lit(0)).alias("documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p7_found": p7_found, "p7_leaks_by_item": p7_leaks_by_item}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_origins": p4_origins, "p7_found": p7_found, "p7_leaks_by_item": p7_leaks_by_item}
 ORACLES: dict[str, str] = {}
