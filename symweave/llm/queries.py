@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from symweave.llm import docpairs
 from symweave.llm.handwritten import classified
 from symweave.llm.leaks import leaked
 from symweave.llm.neighbours import nearest, pairs
@@ -17,6 +18,17 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs(nearest(vectors, width=384))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Functions and methods whose docstring tells something."""
+    pairs = docpairs.pairs(table(spark, d, "symbols"))
+    return pairs.where("id = documented_id").select("id")
+
+
+def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Signatures with descriptions, those of declarations given to definitions without any too."""
+    return docpairs.pairs(table(spark, d, "symbols"))
+
+
 def _origins(spark: SparkSession, d: str) -> DataFrame:
     return classified(table(spark, d, "indexed_files"), table(spark, d, "file_heads"), table(spark, d, "vendor_checksums"))
 
@@ -43,5 +55,5 @@ def p7_leaks_by_item(spark: SparkSession, d: str) -> DataFrame:
     return items.join(per_item, "item_id", "left").select("item_id", "task", F.coalesce("documents", F.lit(0)).alias("documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_origins": p4_origins, "p7_found": p7_found, "p7_leaks_by_item": p7_leaks_by_item}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_origins": p4_origins, "p7_found": p7_found, "p7_leaks_by_item": p7_leaks_by_item}
 ORACLES: dict[str, str] = {}
