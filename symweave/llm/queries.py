@@ -9,6 +9,8 @@ from symweave.llm import docpairs
 from symweave.llm.handwritten import classified
 from symweave.llm.leaks import leaked
 from symweave.llm.neighbours import nearest, pairs
+from symweave.llm.packing import BYTE_BPE, containers, pack_documents
+from symweave.llm.quality import qualities
 from symweave.session import table
 
 
@@ -43,6 +45,16 @@ def p4_origins(spark: SparkSession, d: str) -> DataFrame:
     return _origins(spark, d).select("file_path", "origin")
 
 
+def p6_placements(spark: SparkSession, d: str) -> DataFrame:
+    """Where each document's tokens lie in the containers of each capacity."""
+    return pack_documents(table(spark, d, "documents"), table(spark, d, "token_budgets"), BYTE_BPE)
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, their fill and the least number possible, for each capacity."""
+    return containers(p6_placements(spark, d), table(spark, d, "token_budgets"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that repeat passages of evaluation items, with the items."""
     return leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
@@ -55,5 +67,27 @@ def p7_leaks_by_item(spark: SparkSession, d: str) -> DataFrame:
     return items.join(per_item, "item_id", "left").select("item_id", "task", F.coalesce("documents", F.lit(0)).alias("documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_origins": p4_origins, "p7_found": p7_found, "p7_leaks_by_item": p7_leaks_by_item}
+def p8_qualities(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics, share of prose and type of each document."""
+    return qualities(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents most of whose characters aren't running sentences."""
+    return p8_qualities(spark, d).where("kind = 'other'").select("doc_id")
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p3_found": p3_found,
+    "p3_pairs": p3_pairs,
+    "p4_found": p4_found,
+    "p4_origins": p4_origins,
+    "p6_placements": p6_placements,
+    "p6_containers": p6_containers,
+    "p7_found": p7_found,
+    "p7_leaks_by_item": p7_leaks_by_item,
+    "p8_found": p8_found,
+    "p8_qualities": p8_qualities,
+}
 ORACLES: dict[str, str] = {}
