@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from symweave.extract.python_source import parsed
 from symweave.extract.rules import CALL, KEYWORDS, RULES
@@ -19,16 +23,20 @@ _COLUMNS = ["file_path", "language", "name", "kind", "start_line", "end_line", "
 
 def _declared(line_rows: DataFrame) -> DataFrame:
     """The lines that declare something, with kind and name."""
-    kind, name = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for language, rules in reversed(RULES.items()):
-        here_kind, here_name = F.lit(None).cast("string"), F.lit(None).cast("string")
-        for k, pattern in reversed(rules):
-            hit = F.col("line").rlike(pattern)
-            here_kind = F.when(hit, k).otherwise(here_kind)
-            here_name = F.when(hit, F.regexp_extract("line", pattern, 1)).otherwise(here_name)
-        mine = F.col("language") == language
-        kind, name = F.when(mine, here_kind).otherwise(kind), F.when(mine, here_name).otherwise(name)
-    return line_rows.withColumn("kind", kind).withColumn("name", F.trim(name))
+    schema = T.StructType([*line_rows.schema.fields, T.StructField("kind", T.StringType()), T.StructField("name", T.StringType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rules = {language: [(kind, re.compile(p)) for kind, p in of_it] for language, of_it in RULES.items()}
+        for b in batches:
+            found = []
+            for language, line in zip(b["language"], b["line"]):
+                hits = ((kind, m) for kind, p in rules.get(language, ()) if (m := p.search(line)))
+                kind, hit = next(hits, (None, None))
+                found.append((kind, hit.group(1).strip() if hit else None))
+            b["kind"], b["name"] = [k for k, _ in found], [n for _, n in found]
+            yield b[b["kind"].notna()]
+
+    return line_rows.mapInPandas(run, schema)
 
 
 def by_rules(files: DataFrame) -> DataFrame:
@@ -47,10 +55,12 @@ def by_rules(files: DataFrame) -> DataFrame:
         for d in range(DEPTHS)
     ]
     last = F.max("line_no").over(Window.partitionBy("file_path")).alias("last_line")
-    found = _declared(rows.select("*", *next_, last)).where("name is not null and name <> ''")
     nearest = F.array(*[f"next{d}" for d in range(DEPTHS)])[F.col("indent")]
+    placed = rows.select("*", *next_, last).select("file_path", "language", "line_no", "line", "last_line", nearest.alias("nearest"))
+    placed = placed.select("*", F.col("nearest.line_no").alias("next_line"), F.coalesce("nearest.closing", F.lit(False)).alias("closes")).drop("nearest")
+    found = _declared(placed).where("name <> ''")
     block = F.col("kind").isin("function", "method", "class", "section")
-    end = F.when(nearest.isNull(), F.col("last_line")).when(nearest["closing"], nearest["line_no"]).otherwise(nearest["line_no"] - 1)
+    end = F.when(F.col("next_line").isNull(), F.col("last_line")).when(F.col("closes"), F.col("next_line")).otherwise(F.col("next_line") - 1)
     return found.select(
         "file_path",
         "language",

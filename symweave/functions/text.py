@@ -49,7 +49,7 @@ def folded_tokens(text: str | None) -> list[str]:
     if not text:
         return []
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+        text = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
     return _TOKEN.findall(text.lower())
 
 

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from symweave.extract.symbols import symbols_and_calls
 from symweave.operators import freshness, fulltext, fusion, graph, lookup, vectors
-from symweave.operators.store import Store
+from symweave.operators.store import Store, touched
 from symweave.session import cut
 from symweave.sources.catalogs import sqlite_symbols
-from symweave.sources.files import decoded, indexable, line_range, scan
+from symweave.sources.files import blake2b_udf, decoded, indexable, line_range, scan
 
 SEARCHED = ["name", "kind", "file_path", "signature", "docstring"]
 
@@ -67,6 +67,26 @@ class Index:
             self._index(paths)
         return freshness.run_counts(status)
 
+    def update(self, *, ignored: str | None = None) -> DataFrame:
+        """As :meth:`build`, large files included, but a file of another size or time whose content is as stored
+
+        is only noted as seen. Contents are read only of files whose size or time has changed.
+        """
+        listing = cut(self._listing(ignored))
+        stored = self.store.table("files")
+        differing = freshness.compared(stored, listing, by_checksum=False).where("status in ('new', 'stale')").select("file_path")
+        content = scan(self.spark, self.root).select("file_path", "content").join(cut(differing), "file_path")
+        sums = content.select("file_path", blake2b_udf("content").alias("sum"))
+        hashed = cut(listing.join(sums, "file_path", "left").withColumn("checksum", F.col("sum")).drop("sum"))
+        status = cut(freshness.compared(stored, hashed))
+        seen = hashed.join(status.where("status = 'touched'").select("file_path"), "file_path")
+        self.store.write(files=cut(touched(stored, seen)))
+        self.prune()
+        paths = cut(hashed.join(status.where("status in ('new', 'stale')").select("file_path"), "file_path"))
+        if not paths.isEmpty():
+            self._index(paths)
+        return freshness.run_counts(status, large=2**62)
+
     def refresh(self, paths: DataFrame) -> None:
         """Index the given files (``file_path``) again, as they are now."""
         listing = self._listing().join(paths.select("file_path").distinct(), "file_path")
