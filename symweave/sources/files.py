@@ -18,7 +18,8 @@ from symweave.schemas import LARGE_FILE
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """``file_path, file_size, mtime, content`` of all files below a root.
 
-    A query that leaves ``content`` out lists the files and doesn't read them.
+    A query that leaves ``content`` out lists the files and doesn't read them. Empty files, which
+    have nothing to index, aren't listed.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.regexp_replace("path", "^file:/*", "/")
