@@ -29,6 +29,8 @@ CONNECTING = frozenset(
 )
 
 _BREAK = re.compile(r"\r\n|\r|\x0b|\x0c|\x85| | ")
+_SPACE = re.compile("[\u00a0\u2000-\u200a\u202f\u205f\u3000]")
+_UNSEEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _WORD = re.compile(r"[^\W\d_]+")
 _LATIN = re.compile(r"[a-z]+")  # the same in a text of ASCII, and quicker
 _BULLET = re.compile(r"\s*(?:[-+*•·‣–]\s+|\[[ xX]?\]\s*|\(?(?:\d{1,4}|[a-zA-Z]|[ivxIVX]{1,5})[.)]\s+)")
@@ -50,10 +52,13 @@ FUNCTIONS = (
 
 
 def _shape(line: str) -> str:
-    """A letter for the shape of a line: bullet, marks or text."""
+    """A letter for the shape of a line: bullet, list, marks or text."""
     if _BULLET.match(line):
         return "b"
     body = _LEAD.sub("", line, count=1)
+    commas = body.count(",")
+    if commas >= 4 and 2 * commas >= body.count(" ") or commas >= 3 and commas - body.count(", ") >= 3:
+        return "l"
     marks = len(_MARKS.findall(body))
     return "m" if marks > 3 and marks > 0.2 * len(body) else "t"
 
@@ -62,6 +67,8 @@ def segments(text: str) -> Iterator[list[str]]:
     """Runs of lines of one shape. Blank lines end a run."""
     run: list[str] = []
     last = ""
+    if not text.isascii():
+        text = _UNSEEN.sub("", _SPACE.sub(" ", text))
     for line in _BREAK.sub("\n", text).split("\n"):
         if not line.strip():
             if run:
@@ -120,17 +127,17 @@ def votes(lines: list[str], common: frozenset[str]) -> tuple[list[int], dict[str
     if n_lines >= 4:
         for x in lines:
             for w in _WORD.findall(x.lower()):
-                if w in common:
+                if w in common and w not in ARTICLES:
                     firsts[w] = firsts.get(w, 0) + 1
                     break
-    parallel = max(firsts.values()) / n_lines if firsts else 0.0
+    parallel = max(firsts.values()) / n_lines if firsts and forced < 0.5 and (ended < 0.6 or n_lines >= 6) else 0.0
     pipes = sum(x.count("|") + x.count("\t") for x in lines) / n_lines
     commas = text.count(",") / max(1, n)
     columns = sum(1 for x in lines if "   " in x.strip()) / n_lines
     connected = (sum(map(CONNECTING.__contains__, words)) + sum(map(str.endswith, words, repeat(_INFLECTED)))) / n if n else 0.0
 
     # One item to a line: a line could have taken words of the next, and doesn't end a sentence.
-    listed = bulleted >= 0.6 or n_lines >= 3 and per_line <= 14 and (forced < 0.5 and ended < 0.5 or parallel >= 0.65)
+    listed = bulleted >= 0.6 or n_lines >= 3 and per_line <= 14 and (forced < 0.5 and (ended < 0.5 or per_line <= 4) or parallel >= 0.65)
     # Words out of order: hardly any articles among many common words, or articles before such words.
     salad = n >= 15 and share >= 0.28 and (len(articles) < 0.035 * n or misplaced >= 0.3)
     whole = n >= 8 and not listed and not salad and variety >= 0.4 and marks < 0.06
@@ -161,6 +168,7 @@ def votes(lines: list[str], common: frozenset[str]) -> tuple[list[int], dict[str
 _STATS = ["words", "letters", "marks", "size", "lines", "ended", "common"]
 SEGMENTS = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("votes", T.StringType()), T.StructField("chars", T.LongType())]
+    + [T.StructField("weight", T.DoubleType())]
     + [T.StructField(c, T.DoubleType()) for c in _STATS]
 )
 
@@ -180,21 +188,29 @@ def segment_votes(documents: DataFrame, common_words: list[str]) -> DataFrame:
                 for lines in segments(text):
                     said, stats = votes(lines, common)
                     key = "".join("-0+"[v + 1] for v in said)
-                    row = held.setdefault(key, [0.0] * (1 + len(_STATS)))
-                    row[0] += sum(len(x) - x.count(" ") for x in lines)
+                    row = held.setdefault(key, [0.0] * (2 + len(_STATS)))
+                    chars = sum(len(x) - x.count(" ") for x in lines)
+                    row[0] += chars
+                    row[1] += chars**0.5
                     for k, c in enumerate(_STATS):
-                        row[k + 1] += stats[c]
+                        row[k + 2] += stats[c]
                 rows += [(doc, key, int(row[0]), *row[1:]) for key, row in held.items()]
-            yield pd.DataFrame(rows, columns=["doc_id", "votes", "chars", *_STATS])
+            yield pd.DataFrame(rows, columns=["doc_id", "votes", "chars", "weight", *_STATS])
 
     return documents.select("doc_id", "text").where(F.col("text").rlike(r"\S")).mapInPandas(run, SEGMENTS)
 
 
+ANCHOR = 0.02
+MEANT = np.array([0.05, 0.6, 0.35])  # not prose, nothing, prose: what a function says of prose
+
+
 def learn(patterns: list[str], weights: np.ndarray, *, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
     """The posterior of prose of each pattern of votes, and each function's learnt accuracy.
 
     The functions are taken as independent given the type. A function that may say either, or
-    nothing, has a probability of each in prose and elsewhere. Begins with the majority's verdict.
+    nothing, has a probability of each in prose and elsewhere. Begins with the majority's verdict;
+    a small share ``ANCHOR`` of the evidence is what the functions are meant to say, so that the
+    two types keep their meaning where one of them is rare.
     """
     v = np.array([["-0+".index(c) - 1 for c in p] for p in patterns]).reshape(len(patterns), -1)
     total = weights.sum()
@@ -203,8 +219,9 @@ def learn(patterns: list[str], weights: np.ndarray, *, rounds: int = 60) -> tupl
     for _ in range(rounds):
         prior = np.clip((post * weights).sum() / total, 0.02, 0.98)
         loglik = []
-        for p in (post, 1 - post):
-            mass = (said * (p * weights)[:, None, None]).sum(0) + 1e-4 * total
+        for p in (post, 1 - post):  # prose, then the rest
+            meant = ANCHOR * total * (MEANT if p is post else MEANT[::-1])
+            mass = (said * (p * weights)[:, None, None]).sum(0) + meant
             loglik.append((said * np.log(mass / mass.sum(1, keepdims=True))).sum((1, 2)))
         gap = np.clip(loglik[1] - loglik[0] + np.log((1 - prior) / prior), -60, 60)
         post = 1 / (1 + np.exp(gap))
@@ -224,9 +241,10 @@ def qualities(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     words = [r["word"] for r in common_words.where("word is not null").select("word").distinct().limit(100_000).collect()]
     found = cut(segment_votes(documents, words))
     # Bounded: at most three to the power of the number of functions, whatever the data.
-    counted = found.groupBy("votes").agg(F.sum("chars").alias("chars")).orderBy("votes").collect()
+    # A segment weighs the root of its length, so that a few long ones don't outweigh the rest.
+    counted = found.groupBy("votes").agg(F.sum("weight").alias("weight")).orderBy("votes").collect()
     patterns = [r["votes"] for r in counted]
-    post, _ = learn(patterns, np.array([r["chars"] for r in counted], float)) if patterns else (np.zeros(0), None)
+    post, _ = learn(patterns, np.array([r["weight"] for r in counted], float)) if patterns else (np.zeros(0), None)
     spark = documents.sparkSession
     learnt = spark.createDataFrame([(p, float(x)) for p, x in zip(patterns, post)], "votes string, posterior double")
     sums = {c: F.sum(c).alias(c) for c in _STATS}
