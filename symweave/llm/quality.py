@@ -37,7 +37,7 @@ _BULLET = re.compile(r"\s*(?:[-+*•·‣–]\s+|\[[ xX]?\]\s*|\(?(?:\d{1,4}|[a-
 _LEAD = re.compile(r"^\s*(?:>+|//+!?|/\*+|\*+/?|#+|--|<!--|;+|%+|\"{3}|'{3})?\s*")
 _MARKS = re.compile(r"[0-9{}\[\]()<>=|;:\\/+*#@$%^&~_\t\"]")
 _ENDING = re.compile(r"[.!?…][)\]\"'”’»*_`>/-]*\s*$")
-_STOPS = re.compile(r"[.!?…]+")
+_STOPS = re.compile(r"[.!?…]+(?=[\s\"')\]”’»]|$)")
 _MARKUP = re.compile(r"</?[a-zA-Z][^<>\n]*>|[*_`]+(?=\w)|(?<=\w)[*_`]+|&[a-z]+;|\\[nrt\"']")
 _LIGHT = " .,;:'!?()-"
 _LIGHT_WIDE = "’“”„»«¿¡…"
@@ -113,8 +113,8 @@ def votes(lines: list[str], common: frozenset[str]) -> tuple[list[int], dict[str
     ended = sum(1 for x in lines if _ENDING.search(x)) / n_lines
     parts = [x.count(" ") + x.count("\n") for x in _STOPS.split(text)]
     sentences = sum(x for x in parts[:-1] if x >= 3) / max(1, sum(parts))
-    width = max(map(len, lines))
-    if n_lines >= 2:
+    width = sorted(map(len, lines))[-2 if n_lines >= 6 else -1]  # one line may be longer than the rest
+    if n_lines >= 2 and width >= 36:  # a narrower column isn't wrapped text
         heads = [x.split(None, 1)[0] if x.split() else "" for x in lines[1:]]
         forced = sum(1 for x, h in zip(lines, heads) if len(x) + 1 + len(h) > width) / (n_lines - 1)
     else:
