@@ -113,7 +113,8 @@ def votes(lines: list[str], common: frozenset[str]) -> tuple[list[int], dict[str
     ended = sum(1 for x in lines if _ENDING.search(x)) / n_lines
     parts = [x.count(" ") + x.count("\n") for x in _STOPS.split(text)]
     sentences = sum(x for x in parts[:-1] if x >= 3) / max(1, sum(parts))
-    width = sorted(map(len, lines))[-2 if n_lines >= 6 else -1]  # one line may be longer than the rest
+    sizes = sorted(map(len, lines))
+    width = max(x for x in sizes if x <= 1.6 * sizes[n_lines // 2])  # without the lines that are far longer than most
     if n_lines >= 2 and width >= 36:  # a narrower column isn't wrapped text
         heads = [x.split(None, 1)[0] if x.split() else "" for x in lines[1:]]
         forced = sum(1 for x, h in zip(lines, heads) if len(x) + 1 + len(h) > width) / (n_lines - 1)
