@@ -84,3 +84,33 @@ def _counting(words: Sequence[str], prefix: bool):
 def match(tokens: DataFrame, query: str, *, stem: bool = True, **options) -> DataFrame:
     """Rows that hold all words of a plain query; a query without words finds nothing."""
     return search(tokens, [[t] for t in query_terms(query, stem=stem)], **options)
+
+
+def postings(tokens: DataFrame) -> DataFrame:
+    """``term, id, n``: how often each row of :func:`tokenized` holds each term, over all columns.
+
+    Written sorted by term, the rows of a few terms are found without reading the rest.
+    """
+    return tokens.select("id", F.explode("terms").alias("term")).groupBy("term", "id").agg(F.count("*").alias("n"))
+
+
+def row_lengths(tokens: DataFrame) -> DataFrame:
+    """``id, length``: the number of terms of each row."""
+    return tokens.groupBy("id").agg(F.sum(F.size("terms")).alias("length"))
+
+
+def match_postings(posted: DataFrame, lengths: DataFrame, terms: Sequence[str], *, limit: int = 10, any_of: bool = False) -> DataFrame:
+    """As :func:`match`, from tables of :func:`postings` and :func:`row_lengths`."""
+    terms = list(dict.fromkeys(terms))
+    if not terms:
+        return posted.select("id", F.lit(0.0).alias("score")).limit(0)
+    held = posted.where(F.col("term").isin(terms))
+    stats = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).head()
+    df = {r["term"]: r["count"] for r in held.groupBy("term").count().collect()}  # one row for each term asked for
+    idf = F.lit(LEAST)
+    for t in terms:
+        n = df.get(t, 0)
+        idf = F.when(F.col("term") == t, F.lit(max(LEAST, math.log((stats["n"] - n + 0.5) / (n + 0.5))) if n else LEAST)).otherwise(idf)
+    weight = F.col("n") * (K1 + 1) / (F.col("n") + K1 * (1 - B + B * F.col("length") / F.lit(stats["mean"] or 1.0)))
+    scored = held.join(lengths, "id").groupBy("id").agg(F.sum(idf * weight).alias("score"), F.count("*").alias("terms"))
+    return scored.where(F.col("terms") >= (1 if any_of else len(terms))).select("id", F.round("score", 9).alias("score")).orderBy(F.desc("score"), "id").limit(limit)

@@ -11,7 +11,7 @@ from symweave.functions.text import embedding_text, first_line
 from symweave.operators import freshness, fulltext, fusion, graph, lookup, stats, store, vectors
 from symweave.operators.hierarchy import current_rows
 from symweave.schemas import LARGE_FILE, SUFFIXES
-from symweave.session import table
+from symweave.session import cut, table
 from symweave.sources.files import line_range, lines
 from symweave.streaming.watch import bursts
 
@@ -219,6 +219,13 @@ def bm25_topk(s, d):
     return fulltext.match(_documents_tokens(s, d), "broken writers", stem=False)
 
 
+def bm25_postings(s, d):
+    """As the plain search, from a written table of postings."""
+    tokens = _documents_tokens(s, d)
+    posted, lengths = cut(fulltext.postings(tokens).sortWithinPartitions("term")), cut(fulltext.row_lengths(tokens))
+    return fulltext.match_postings(posted, lengths, fulltext.query_terms("broken writers", stem=False))
+
+
 def bm25_stemmed(s, d):
     """As the plain search, on stems: SQL has none, the tests compare it with an independent index."""
     return fulltext.match(_documents_tokens(s, d, stem=True), "restoring the broken writer")
@@ -294,7 +301,7 @@ QUERIES = {
         symbol_by_name, symbol_body, keyword_search, keyword_post_limit_filter, status_counts, language_top8, dir_rollup, symbol_count_per_file,
         callers, callees, call_degrees, homonym_callers, missing_vectors, semi_delete_survivors, deleted_file_survivors, stale_files,
         enclosing_symbol, symbol_ordinals, freshness_status, build_freshness, build_stats, upsert_files, touch_metadata, replace_symbols,
-        bm25_topk, bm25_stemmed, fts_or, fts_phrase, fts_prefix, fts_column, knn_l2, rrf_fusion, embed_text, encoded_symbols, export_rows,
+        bm25_topk, bm25_postings, bm25_stemmed, fts_or, fts_phrase, fts_prefix, fts_column, knn_l2, rrf_fusion, embed_text, encoded_symbols, export_rows,
         json_rows, import_names, debounce_sessions, extracted_symbols,
     )
 }
@@ -428,3 +435,4 @@ select id, round(sum(1.0::double / (60 + r)), 9) as score from lists group by id
 g as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as burst from e)
 select user_id, min(ts) as started, count(*) as events from g group by user_id, burst""",
 }
+ORACLES["bm25_postings"] = ORACLES["bm25_topk"]
