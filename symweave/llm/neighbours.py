@@ -194,7 +194,7 @@ def nearest(
     width: int,
     k: int = 10,
     spill: int = 3,
-    shortlist: int = 320,
+    shortlist: int = 640,
     beam: int = 3,
     levels: int = 8,
     entries: int = 64,
