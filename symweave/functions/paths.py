@@ -52,4 +52,4 @@ def matches_any(path: Column, globs: Sequence[str]) -> Column:
     """Whether a shell pattern matches the whole path. A star also matches slashes."""
     if not globs:
         return F.lit(False)
-    return F.lit(False) if not globs else path.rlike("|".join("^" + fnmatch.translate(g).replace(r"\Z", r"\z").replace(r"(?s:", "(?s:") for g in globs))
+    return path.rlike("|".join("^" + fnmatch.translate(g).replace(r"\Z", r"\z") for g in globs))

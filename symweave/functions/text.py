@@ -18,9 +18,9 @@ def ascii_lower(text: Column) -> Column:
 
 
 def like_ascii(text: Column, query: str) -> Column:
-    """``LIKE '%query%'``: only ASCII letters match regardless of case; ``%`` and ``_`` in the
+    """``LIKE '%query%'``, in which only ASCII letters match regardless of case.
 
-    query are wildcards and nothing escapes them.
+    ``%`` and ``_`` in the query are wildcards and nothing escapes them.
     """
     return ascii_lower(text).like("%" + query.translate(str.maketrans(_UPPER, _LOWER)).replace("\\", "\\\\") + "%")
 

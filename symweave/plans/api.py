@@ -68,9 +68,10 @@ class Index:
         return freshness.run_counts(status)
 
     def update(self, *, ignored: str | None = None) -> DataFrame:
-        """As :meth:`build`, large files included, but a file of another size or time whose content is as stored
+        """As :meth:`build`, with large files.
 
-        is only noted as seen. Contents are read only of files whose size or time has changed.
+        A file of another size or time whose content is as stored is only noted as seen. Contents
+        are read only of files whose size or time has changed.
         """
         listing = cut(self._listing(ignored))
         stored = self.store.table("files")

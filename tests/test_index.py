@@ -157,3 +157,11 @@ def test_watch(spark, index, tree, tmp_path):
     stream.awaitTermination(120)
     names = {r.name for r in index.store.table("symbols").collect()}
     assert "third" in names and "put" not in names
+
+
+def test_encoder(spark):
+    rows = [(1, "load", "def load():", None), (2, "load", "def load():", None), (3, "save_all", None, "Saves it."), (4, "", None, None)]
+    df = vectors.encoded(spark.createDataFrame(rows, "id bigint, name string, signature string, docstring string"), vectors.hashed_encoder(64))
+    got = {r.symbol_id: r.embedding for r in df.collect()}
+    assert got[1] == got[2] != got[3] and all(len(v) == 64 for v in got.values())
+    assert sum(x * x for x in got[3]) == pytest.approx(1, abs=1e-5) and not any(got[4])
