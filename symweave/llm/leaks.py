@@ -74,17 +74,21 @@ def seeds(words: np.ndarray, telling: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(out_h), np.concatenate(out_p)
 
 
-def overlap(item: np.ndarray, text: np.ndarray, diagonal: int, weight: np.ndarray) -> tuple[int, int, float, float]:
-    """Of the best aligned stretch along a diagonal: item words covered, equal ones, and the weight of the equal and of all.
+def equal_words(item: np.ndarray, text: np.ndarray, diagonal: int) -> np.ndarray:
+    """For each diagonal within ``SHIFT`` of one and each word of the item, whether the text has it there."""
+    at = np.arange(len(item))[None, :] + diagonal + np.arange(-SHIFT, SHIFT + 1)[:, None]
+    inside = (at >= 0) & (at < len(text))
+    return (text[np.where(inside, at, 0)] == item[None, :]) & inside
+
+
+def overlap(equal: np.ndarray, weight: np.ndarray) -> tuple[int, int, float, float, tuple[int, int], tuple[int, int]]:
+    """Of the best aligned stretch along :func:`equal_words`: item words covered, equal ones, the weight of the equal and of all, and diagonal and place of its first word and of its last.
 
     A match counts 1, a changed word -2, and so does each move to a neighbouring diagonal.
     """
-    n, width = len(item), 2 * SHIFT + 1
-    at = np.arange(n)[None, :] + diagonal + np.arange(-SHIFT, SHIFT + 1)[:, None]
-    inside = (at >= 0) & (at < len(text))
-    equal = (text[np.where(inside, at, 0)] == item[None, :]) & inside
-    zero = (0.0, 0, 0, 0.0, 0.0)
-    state, best = [zero] * width, zero
+    width, n = equal.shape
+    zero = (0.0, 0, 0, 0.0, 0.0, (0, 0))
+    state, best, last = [zero] * width, zero, (0, 0)
     for j in range(n):
         w = float(weight[j])
         old, state = state, []
@@ -94,13 +98,55 @@ def overlap(item: np.ndarray, text: np.ndarray, diagonal: int, weight: np.ndarra
                 if old[m][0] - 2 * abs(m - k) > s[0]:
                     s = (old[m][0] - 2 * abs(m - k), *old[m][1:])
             if equal[k, j]:
-                s = (s[0] + 1, s[1] + 1, s[2] + 1, s[3] + w, s[4] + w)
+                s = (s[0] + 1, s[1] + 1, s[2] + 1, s[3] + w, s[4] + w, s[5] if s[1] else (k, j))
                 if s[0] > best[0]:
-                    best = s
+                    best, last = s, (k, j)
             else:
-                s = (s[0] - 2, s[1] + 1, s[2], s[3], s[4] + w) if s[0] > 2 else zero
+                s = (s[0] - 2, s[1] + 1, s[2], s[3], s[4] + w, s[5]) if s[0] > 2 else zero
             state.append(s)
-    return best[1], best[2], best[3], best[4]
+    return best[1], best[2], best[3], best[4], best[5], last
+
+
+def enough(n, same, same_told, told):
+    """Whether so many covered, equal, equal telling and telling words make a leak; numbers or arrays."""
+    return (n >= LEAST_WORDS) & (same >= 0.75 * n) & (same_told >= np.maximum(2, 0.6 * told))
+
+
+def enough_apart(n, same, same_told, told):
+    """The same where changed words may be anywhere: a sentence pattern filled with other telling words is none."""
+    return enough(n, same, same_told, told) & ((same >= 0.8 * n) | (same_told >= 0.75 * told))
+
+
+def same_window(equal: np.ndarray, weight: np.ndarray) -> bool:
+    """Whether a window on one diagonal that begins and ends with an equal word is a leak, wherever its changed words are.
+
+    Of a longer window with enough equal words, one half has enough, so twice the least length will do.
+    """
+    equal = equal[equal.sum(1) >= 0.75 * LEAST_WORDS]
+    if not len(equal):
+        return False
+    n = equal.shape[1]
+    zero = np.zeros((len(equal), 1))
+    same, same_told = (np.hstack([zero, np.cumsum(x, 1)]) for x in (equal, equal * weight))
+    told = np.concatenate([[0], np.cumsum(weight)])
+    for size in range(LEAST_WORDS, min(n, 2 * LEAST_WORDS) + 1):
+        good = enough_apart(size, same[:, size:] - same[:, :-size], same_told[:, size:] - same_told[:, :-size], (told[size:] - told[:-size])[None, :])
+        if (good & equal[:, : n - size + 1] & equal[:, size - 1 :]).any():
+            return True
+    return False
+
+
+def extended(equal: np.ndarray, weight: np.ndarray, stretch: tuple) -> bool:
+    """Whether an aligned stretch is a leak with equal words before and after it, past the changed words between."""
+    n, same, same_told, told, first, last = stretch
+    sides = []
+    for (k, j), step in ((first, -1), (last, 1)):
+        e = equal[k, j + step :: step][:LEAST_WORDS] if j + step >= 0 else equal[k, :0]
+        w = weight[j + step :: step][:LEAST_WORDS] if j + step >= 0 else weight[:0]
+        ends = np.concatenate([[0], np.flatnonzero(e) + 1])
+        sides.append([ends, *(np.concatenate([[0], np.cumsum(x)])[ends] for x in (e, e * w, w))])
+    (n1, same1, told1, all1), (n2, same2, told2, all2) = ([x[:, None] for x in sides[0]], sides[1])
+    return bool(enough_apart(n + n1 + n2, same + same1 + same2, same_told + told1 + told2, told + all1 + all2).any())
 
 
 def is_leak(item: np.ndarray, text: np.ndarray, diagonals: list[int], telling: np.ndarray) -> bool:
@@ -114,8 +160,11 @@ def is_leak(item: np.ndarray, text: np.ndarray, diagonals: list[int], telling: n
         if done and d - done[-1] <= 1:
             continue
         done.append(d)
-        n, same, same_told, told = overlap(item, text, d, telling)
-        if n >= LEAST_WORDS and same >= 0.75 * n and same_told >= max(2, 0.6 * told):
+        equal = equal_words(item, text, d)
+        if same_window(equal, telling):
+            return True
+        stretch = overlap(equal, telling)
+        if enough(*stretch[:4]) or (stretch[0] and extended(equal, telling, stretch)):
             return True
     return False
 

@@ -1,6 +1,9 @@
+from itertools import combinations
+
+import numpy as np
 import pytest
 
-from symweave.llm.leaks import leaked, words_of
+from symweave.llm.leaks import is_leak, leaked, words_of
 
 ITEM = "Count how often the jozijal commit visits a gobibet before the vajajex becomes silent. Keep a fatakax stack and push the bopofox once for each serigeb."
 STOCK = "Answer with one function and no explanation, and mind the edge cases before you start, please."
@@ -44,6 +47,30 @@ def test_cases(spark, items):
     assert got == [(d, 1) for d in (1, 2, 3, 5, 6, 11, 12, 14, 15)]
 
 
+def cut_out(n, changed=(), without=()):
+    """Whether the item's words from 40 on, ``n`` of them, are a leak with some changed and some left out."""
+    item = np.arange(1, 101)
+    words = np.array([0 if i in changed else item[40 + i] for i in range(n) if i not in without])
+    return is_leak(item, np.concatenate([np.zeros(20, int), words, np.zeros(20, int)]), [-20], np.ones(100))
+
+
+@pytest.mark.parametrize("n", range(12, 17))
+def test_changed_words_anywhere(n):
+    for places in [*combinations(range(1, n - 1), 1), *combinations(range(1, n - 1), 2)]:
+        assert cut_out(n, places), places
+
+
+def test_changed_and_missing_words():
+    assert cut_out(14, (1,), (7,)) and cut_out(12, (1, 4, 10))
+    assert not cut_out(9) and not cut_out(11) and not cut_out(12, (1, 3, 5, 7)) and not cut_out(12, (0, 11))
+
+
+def test_early_change(spark, items):
+    w = ITEM.split()[:12]
+    docs = [(i, "Before. " + " ".join("ranefab" if j == i else x for j, x in enumerate(w)) + " After.", None) for i in (1, 2, 9, 10)]
+    assert sorted(leaked(spark.createDataFrame(docs, DOCS), items).collect()) == [(i, 1) for i in (1, 2, 9, 10)]
+
+
 def test_blocks_give_the_same(spark, items):
     docs = spark.createDataFrame([(1, ITEM, None)], DOCS)
     assert [tuple(r) for r in leaked(docs, items, block_words=200).collect()] == [(1, 1)]
