@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,7 +17,8 @@ from symweave.operators.graph import enclosing
 from symweave.schemas import CALL_LANGUAGES
 from symweave.sources.files import lines
 
-DEPTHS = 9  # levels of indentation told apart
+_CLOSING = re.compile(r"^\s*(?:[\]})]+[;,]?|end;?|fi|done|esac)\s*$", re.ASCII)
+_SEEN = re.compile(r"\S", re.ASCII)
 _COLUMNS = ["file_path", "language", "name", "kind", "start_line", "end_line", "signature", "docstring", "parent_name"]
 
 
@@ -39,25 +40,42 @@ def _declared(line_rows: DataFrame) -> DataFrame:
     return line_rows.mapInPandas(run, schema)
 
 
+def _placed_schema(files: DataFrame) -> T.StructType:
+    added = {"line_no": T.IntegerType(), "line": T.StringType(), "last_line": T.IntegerType(), "next_line": T.IntegerType(), "closes": T.BooleanType()}
+    return T.StructType([files.schema["file_path"], files.schema["language"], *[T.StructField(n, kind) for n, kind in added.items()]])
+
+
+def _placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The lines of each text with its last line, the next one indented as little, and whether that only closes a block."""
+    columns = ["file_path", "language", "line_no", "line", "last_line", "next_line", "closes"]
+    for b in batches:
+        for path, language, text in zip(b["file_path"], b["language"], b["text"]):
+            split = re.split("\r?\n", text)
+            out: list[tuple] = []
+            open_: list[tuple[int, int]] = []
+            for no in range(len(split), 0, -1):
+                line = split[no - 1]
+                next_ = None
+                if _SEEN.search(line):
+                    spaced = line.replace("\t", "    ")
+                    indent = len(spaced) - len(spaced.lstrip(" "))
+                    while open_ and open_[-1][0] > indent:
+                        open_.pop()
+                    next_ = open_[-1][1] if open_ else None
+                    open_.append((indent, no))
+                out.append((path, language, no, line, len(split), next_, next_ is not None and bool(_CLOSING.search(split[next_ - 1]))))
+            rows = pd.DataFrame(out[::-1], columns=columns)
+            rows["next_line"] = rows["next_line"].astype("Int32")
+            yield rows
+
+
 def by_rules(files: DataFrame) -> DataFrame:
     """Symbols of ``file_path, language, text`` by the line rules of each language.
 
     A symbol ends before the next line that is indented as little as its own, which it includes
     if that line only closes a bracket or block.
     """
-    rows = lines(files, "file_path", "language")
-    indent = F.least(F.floor(F.length(F.regexp_extract(F.regexp_replace("line", "\t", "    "), "^( *)", 1)) / 2), F.lit(DEPTHS - 1)).cast("int")
-    closing = F.col("line").rlike(r"^\s*(?:[\]})]+[;,]?|end;?|fi|done|esac)\s*$")
-    rows = rows.withColumn("indent", indent).withColumn("closing", closing).withColumn("blank", ~F.col("line").rlike(r"\S"))
-    after = Window.partitionBy("file_path").orderBy("line_no").rowsBetween(1, Window.unboundedFollowing)
-    next_ = [
-        F.first(F.when(~F.col("blank") & (F.col("indent") <= d), F.struct("line_no", "closing")), ignorenulls=True).over(after).alias(f"next{d}")
-        for d in range(DEPTHS)
-    ]
-    last = F.max("line_no").over(Window.partitionBy("file_path")).alias("last_line")
-    nearest = F.array(*[f"next{d}" for d in range(DEPTHS)])[F.col("indent")]
-    placed = rows.select("*", *next_, last).select("file_path", "language", "line_no", "line", "last_line", nearest.alias("nearest"))
-    placed = placed.select("*", F.col("nearest.line_no").alias("next_line"), F.coalesce("nearest.closing", F.lit(False)).alias("closes")).drop("nearest")
+    placed = files.where("text is not null").select("file_path", "language", "text").mapInPandas(_placed, _placed_schema(files))
     found = _declared(placed).where("name <> ''")
     block = F.col("kind").isin("function", "method", "class", "section")
     end = F.when(F.col("next_line").isNull(), F.col("last_line")).when(F.col("closes"), F.col("next_line")).otherwise(F.col("next_line") - 1)

@@ -165,3 +165,14 @@ def test_encoder(spark):
     got = {r.symbol_id: r.embedding for r in df.collect()}
     assert got[1] == got[2] != got[3] and all(len(v) == 64 for v in got.values())
     assert sum(x * x for x in got[3]) == pytest.approx(1, abs=1e-5) and not any(got[4])
+
+
+def test_deep_nesting(spark):
+    """Blocks end where they do, however deep they lie."""
+    from symweave.extract.symbols import by_rules
+
+    depths = range(12)
+    text = "\n".join([f"{'    ' * d}function f{d}() {{" for d in depths] + ["    " * 12 + "g();"] + [f"{'    ' * d}}}" for d in reversed(depths)])
+    files = spark.createDataFrame([("a.js", "javascript", text), ("b.js", "javascript", text.replace("    ", "\t"))], "file_path string, language string, text string")
+    got = {(r.file_path, r.name): (r.start_line, r.end_line) for r in by_rules(files).collect()}
+    assert got == {(p, f"f{d}"): (d + 1, 25 - d) for p in ("a.js", "b.js") for d in depths}
