@@ -24,6 +24,8 @@ MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 6), (0, 2, 3, 5, 8), (0, 3, 4, 6, 7))
 SPAN = 1 + max(max(m) for m in MASKS)
 LEAST_WORDS = 12
 MARGIN = 16  # words kept on each side of what the items of a hit can cover
+GRAM = 6  # consecutive words by which a passage is judged as shared by many texts
+SHARE = 0.05  # of the texts; what more of them hold (and more than two) is common
 SHIFT = 3  # words that may be missing or additional around a diagonal
 PRIMES = np.array([1_000_003, 7_368_787, 39_916_801, 479_001_599, 87_178_291_199], np.int64)
 
@@ -51,11 +53,22 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def seeds(words: np.ndarray, telling: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def own_windows(n: int, common: np.ndarray) -> np.ndarray:
+    """Where windows of twelve words start that aren't shared by many texts, in a text of ``n`` words.
+
+    ``common`` has the places of its common runs of ``GRAM`` words; most runs of a window must be others.
+    """
+    own = np.ones(max(0, n - GRAM + 1), int)
+    own[common] = 0
+    runs = LEAST_WORDS - GRAM + 1
+    return np.flatnonzero(np.convolve(own, np.ones(runs, int), "valid") > runs // 2) if len(own) >= runs else np.zeros(0, int)
+
+
+def seeds(words: np.ndarray, telling: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and places of all seeds of a text given as numbers of words.
 
-    The words that a seed counts are words of items, one at least of which tells items apart; number
-    0 is a word of no item.
+    The words that a seed counts are words of items; one at least tells items apart, or all are
+    ``plain`` words, of passages that only their order tells apart. Number 0 is a word of no item.
     """
     out_h, out_p = [], []
     for k, mask in enumerate(MASKS):
@@ -63,7 +76,7 @@ def seeds(words: np.ndarray, telling: np.ndarray) -> tuple[np.ndarray, np.ndarra
         if n <= 0:
             continue
         picked = np.stack([words[o : o + n] for o in mask])
-        good = (picked > 0).all(0) & telling[picked].any(0)
+        good = (picked > 0).all(0) & (telling[picked].any(0) | plain[picked].all(0))
         at = np.flatnonzero(good)
         with np.errstate(over="ignore"):
             h = (picked[:, at].astype(np.int64) * PRIMES[:, None]).sum(0) * np.int64(1_099_511_628_211) + k
@@ -149,11 +162,12 @@ def extended(equal: np.ndarray, weight: np.ndarray, stretch: tuple) -> bool:
     return bool(enough_apart(n + n1 + n2, same + same1 + same2, same_told + told1 + told2, told + all1 + all2).any())
 
 
-def is_leak(item: np.ndarray, text: np.ndarray, diagonals: list[int], telling: np.ndarray) -> bool:
+def is_leak(item: np.ndarray, text: np.ndarray, diagonals: list[int], telling: np.ndarray, own: np.ndarray | None = None) -> bool:
     """Whether a stretch of at least twelve words of the item is in the text.
 
     Most words must be equal, and of the words that tell items apart most as well and two at
     least, so that another instance of a common sentence pattern, or a stock phrase, is none.
+    Of the windows that start at ``own``, twelve equal words are enough.
     """
     done: list[int] = []
     for d in sorted(diagonals):
@@ -163,6 +177,10 @@ def is_leak(item: np.ndarray, text: np.ndarray, diagonals: list[int], telling: n
         equal = equal_words(item, text, d)
         if same_window(equal, telling):
             return True
+        if own is not None and len(own):
+            run = np.cumsum(np.pad(equal, ((0, 0), (1, 0))), 1)
+            if (run[:, own + LEAST_WORDS] - run[:, own] == LEAST_WORDS).any():
+                return True
         stretch = overlap(equal, telling)
         if enough(*stretch[:4]) or (stretch[0] and extended(equal, telling, stretch)):
             return True
@@ -182,6 +200,22 @@ def item_fields(items: DataFrame) -> DataFrame:
     return both.where("text is not null").select("item_id", "field", split("text").alias("words")).where(F.size("words") >= LEAST_WORDS)
 
 
+def commonness(fields: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    """``word, df``; ``text, common``, by the text's hash the places of runs of ``GRAM`` words that many texts share; how many texts are many.
+
+    Copies of a text under several items or fields count once.
+    """
+    texts = fields.select("words", F.xxhash64("words").alias("text")).distinct()
+    # An item has two texts: the share is of the field with more of them.
+    most = fields.groupBy("field").agg(F.countDistinct("words").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).head()[0]
+    many = max(2.0, SHARE * most)
+    held = texts.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("words") - GRAM + 1), lambda i: F.xxhash64(F.slice("words", i, GRAM)))
+    shared = texts.select(F.explode(F.array_distinct(runs)).alias("run")).groupBy("run").count().where(F.col("count") > many).select("run")
+    places = texts.select("text", F.posexplode(runs).alias("at", "run")).join(shared, "run")
+    return cut(held), cut(places.groupBy("text").agg(F.collect_list("at").alias("common"))), many
+
+
 def leaked(documents: DataFrame, items: DataFrame, *, block_words: int = 500_000) -> DataFrame:
     """``doc_id, item_id`` of documents whose ``text`` repeats passages of the items.
 
@@ -192,32 +226,49 @@ def leaked(documents: DataFrame, items: DataFrame, *, block_words: int = 500_000
     fields = cut(item_fields(items))
     total = fields.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).head()[0]
     n = parts_for(total, block_words)
+    held, common, many = commonness(fields)
+    fields = fields.withColumn("text", F.xxhash64("words")).join(common, "text", "left").select(*fields.columns, F.coalesce("common", F.array().cast("array<int>")).alias("common"))
     found = None
     for b in range(n):
         block = fields.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b) if n > 1 else fields
-        here = _leaked_block(documents, block)
+        here = _leaked_block(documents, block, held, many)
         found = here if found is None else found.union(here)
     return found
 
 
-def _leaked_block(documents: DataFrame, fields: DataFrame) -> DataFrame:
-    # Bounded by block_words: the words of the block with the number of items that hold them.
-    held = fields.select("item_id", F.explode("words").alias("word")).groupBy("word").agg(F.countDistinct("item_id").alias("df"))
-    rows = held.orderBy("word").collect()
-    n_items = max(1, fields.select("item_id").distinct().count())
+def _leaked_block(documents: DataFrame, fields: DataFrame, held: DataFrame, many: float) -> DataFrame:
+    # Bounded by block_words: the words of the block with the number of texts of all items that hold them.
+    rows = held.join(fields.select(F.explode("words").alias("word")).distinct(), "word").orderBy("word").collect()
     number = {r["word"]: k + 1 for k, r in enumerate(rows)}
-    df = np.array([n_items] + [r["df"] for r in rows], float)
-    telling = df <= max(2.0, 0.05 * n_items)
-    telling[0] = False
+    telling = np.array([False] + [r["df"] <= many for r in rows])
 
-    def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b["words"] = [np.array([number[w] for w in ws], np.int32) for ws in b["words"]]
-            both = [seeds(ws, telling) for ws in b["words"]]
-            b["h"], b["p"] = [h for h, _ in both], [p for _, p in both]
-            yield b
+            b["own"] = [own_windows(len(ws), np.asarray(c, int)) for ws, c in zip(b["words"], b["common"])]
+            told = [np.concatenate([[0], np.cumsum(telling[ws])]) for ws in b["words"]]
+            bare = [o[t[o + LEAST_WORDS] - t[o] < 2] for o, t in zip(b["own"], told)]
+            b["bare"] = bare
+            b["plain"] = [np.unique(ws[(o[:, None] + np.arange(LEAST_WORDS)).ravel()]) for ws, o in zip(b["words"], bare)]
+            yield b[["item_id", "field", "words", "own", "bare", "plain"]]
 
-    block = cut(fields.mapInPandas(numbered, "item_id bigint, field string, words array<int>, h array<bigint>, p array<bigint>"))
+    block = cut(fields.mapInPandas(placed, "item_id bigint, field string, words array<int>, own array<int>, bare array<int>, plain array<int>"))
+    plain = np.zeros(len(telling), bool)
+    plain[[r[0] for r in block.select(F.explode("plain")).distinct().collect()]] = True
+
+    def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            hs, ps = [], []
+            for ws, bare in zip(b["words"], b["bare"]):
+                ws = np.asarray(ws)
+                (h, p), (more_h, more_p) = seeds(ws, telling, np.zeros_like(plain)), seeds(ws, np.zeros_like(telling), plain)
+                first = np.isin(more_p, bare)  # one place is enough for twelve equal words
+                hs.append(np.concatenate([h, more_h[first]]))
+                ps.append(np.concatenate([p, more_p[first]]))
+            b["h"], b["p"] = hs, ps
+            yield b.drop(columns=["bare", "plain"])
+
+    block = cut(block.mapInPandas(numbered, "item_id bigint, field string, words array<int>, own array<int>, h array<bigint>, p array<bigint>"))
     longest = block.agg(F.coalesce(F.max(F.size("words")), F.lit(0))).head()[0]
     test_seeds = block.select("item_id", "field", F.explode(F.arrays_zip("h", "p")).alias("s")).select(
         "item_id", "field", F.col("s.h").alias("h"), F.col("s.p").alias("item_at")
@@ -233,7 +284,7 @@ def _leaked_block(documents: DataFrame, fields: DataFrame) -> DataFrame:
                 words = np.array([get(w, 0) for w in words_of(text)], np.int32)
                 if not len(known) or len(words) < LEAST_WORDS or np.count_nonzero(words) < 5:
                     continue
-                h, p = seeds(words, telling)
+                h, p = seeds(words, telling, plain)
                 near = known[np.minimum(np.searchsorted(known, h), len(known) - 1)]
                 h, p = h[near == h], p[near == h]
                 if not len(h):
@@ -258,14 +309,14 @@ def _leaked_block(documents: DataFrame, fields: DataFrame) -> DataFrame:
         .agg(F.collect_set(F.col("at") - F.col("item_at")).alias("diagonals"))
     )
     pairs = hits.join(near.select("doc_id", "region", F.col("words").alias("text_words")), ["doc_id", "region"]).join(
-        block.select("item_id", "field", "words"), ["item_id", "field"]
+        block.select("item_id", "field", "words", "own"), ["item_id", "field"]
     )
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             good = [
-                is_leak(np.asarray(w), np.asarray(t), [int(x) for x in d], telling[np.asarray(w)])
-                for w, t, d in zip(b["words"], b["text_words"], b["diagonals"])
+                is_leak(np.asarray(w), np.asarray(t), [int(x) for x in d], telling[np.asarray(w)], np.asarray(o, int))
+                for w, t, d, o in zip(b["words"], b["text_words"], b["diagonals"], b["own"])
             ]
             yield b.loc[np.array(good, bool), ["doc_id", "item_id"]]
 

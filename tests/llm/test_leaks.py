@@ -71,6 +71,21 @@ def test_early_change(spark, items):
     assert sorted(leaked(spark.createDataFrame(docs, DOCS), items).collect()) == [(i, 1) for i in (1, 2, 9, 10)]
 
 
+def test_copies_of_an_item_count_once(spark, items):
+    copies = spark.createDataFrame([(100 + i, ITEM, None, None) for i in range(15)], ITEMS)
+    docs = spark.createDataFrame([(1, ITEM, None), (2, STOCK, None)], DOCS)
+    for block_words in (500_000, 300):
+        got = leaked(docs, items.where("item_id <> 1").union(copies), block_words=block_words)
+        assert sorted(tuple(r) for r in got.collect()) == [(1, 100 + i) for i in range(15)]
+
+
+def test_common_words_in_an_order_of_their_own(spark):
+    common = "the of and to in is that for it as was with be by on not he his but at are this have from or".split()
+    rows = [(i, " ".join(np.random.default_rng(i).permutation(common)), None, None) for i in range(60)]
+    docs = spark.createDataFrame([(7, "Before. " + " ".join(rows[3][1].split()[5:18]) + " after", None), (8, " ".join(common), None)], DOCS)
+    assert [tuple(r) for r in leaked(docs, spark.createDataFrame(rows, ITEMS)).collect()] == [(7, 3)]
+
+
 def test_blocks_give_the_same(spark, items):
     docs = spark.createDataFrame([(1, ITEM, None)], DOCS)
     assert [tuple(r) for r in leaked(docs, items, block_words=200).collect()] == [(1, 1)]
