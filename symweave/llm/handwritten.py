@@ -1,15 +1,25 @@
 """Source files that nobody of the project wrote by hand.
 
-The head of each file is lexed and its canonical layout is compared with the one it has: many
-statements to a line mean a minified file, numbers nearly everywhere a data blob, lines that all
-have the full length a file that was printed by a tool. Where the file lies, what it is called,
-what its first comments say, its size and its checksum are further evidence.
+The head of each file is lexed and written again in canonical layout (:mod:`symweave.llm.layout`).
+Extreme expansion, in the head and, by its canonical width, over the whole file, marks minified
+files; perfect uniformity marks what a loop has printed; dominance of literals marks bulk data.
+Layout can't tell a copy from its original nor see a generator's neat output, so where the file
+lies, what it is called, its comments and its checksum are further evidence.
 """
 
 from __future__ import annotations
 
+from typing import get_type_hints
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from symweave.llm.layout import Layout, measured
+
+EXTREME = 6.0  # canonical lines for each line as it is, from which code was squeezed
+DOMINANT = 0.8  # share of literals among words and literals, from which a file is data
 
 # Names that package managers and generators give to folders and files.
 PACKAGE_FOLDERS = "bower_components|Pods|external|externals|node_modules|site-packages|third[-_]?party|vendor|vendored|Carthage|deps"
@@ -50,30 +60,20 @@ def normal_path(path: Column) -> Column:
     return F.regexp_replace(path, "/(\\./)*/*(?=/)|/(\\./)+", "/")
 
 
-def layout(heads: DataFrame) -> DataFrame:
-    """``file_path, expansion, numbers, comments, line_count, longest_line`` of each head.
+_KINDS = {str: T.StringType(), int: T.IntegerType(), float: T.DoubleType()}
+_LAYOUT = T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in get_type_hints(Layout).items()])
 
-    ``expansion`` is how many lines the head would have in canonical layout (one for each
-    statement and each brace) for every line it has; ``numbers`` the share of number literals
-    among its words and literals.
-    """
-    text = F.regexp_replace("head", r"\"(\\.|[^\"\\\n])*\"|'(\\.|[^'\\\n])*'", "\"\"")
-    code = F.regexp_replace(text, r"(?m)^\s*(//|#|--|\*|/\*|<!--).*$", "")
-    statements = F.regexp_count("code", F.lit(r"[;{}]"))
-    # A list has one element a line; its brackets and commas count only where numbers dominate.
-    lines = F.greatest(F.lit(1), F.regexp_count("code", F.lit(r"\n\s*\S")) + 1)
-    number = F.regexp_count("code", F.lit(r"(?<![\w.])-?(0[xX][0-9a-fA-F]+|\d+(\.\d+)?([eE][-+]?\d+)?)(?![\w.])"))
-    words = F.regexp_count("code", F.lit(r"[A-Za-z_]\w*|\"\""))
-    comments = F.array_join(F.regexp_extract_all("head", F.lit(r"(?m)^\s*((//|#|--|\*|/\*|<!--|;|%|\"\"\").*)$"), 1), "\n")
-    return heads.select("file_path", "head", "line_count", "longest_line", code.alias("code")).select(
-        "file_path",
-        "line_count",
-        "longest_line",
-        (statements / lines).alias("expansion"),
-        (number / F.greatest(F.lit(1), number + words)).alias("numbers"),
-        number.alias("number_count"),
-        comments.alias("comments"),
-    )
+
+@F.pandas_udf(_LAYOUT)
+def _measured(head: pd.Series, suffix: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([measured(h, s) for h, s in zip(head, suffix)], columns=Layout._fields)
+
+
+def layout(heads: DataFrame) -> DataFrame:
+    """``file_path, line_count, longest_line`` and the measures of :class:`Layout` of each head; a null one counts as empty."""
+    suffix = F.lower(F.regexp_extract("file_path", r"\.([^./\\]+)$", 1))
+    found = _measured(F.coalesce("head", F.lit("")), suffix).alias("m")
+    return heads.select("file_path", "line_count", "longest_line", found).select("file_path", "line_count", "longest_line", "m.*")
 
 
 def classified(files: DataFrame, heads: DataFrame, published: DataFrame) -> DataFrame:
@@ -103,23 +103,27 @@ def classified(files: DataFrame, heads: DataFrame, published: DataFrame) -> Data
         .join(sums.withColumn("copied", F.lit(True)), "sum", "left")
         .join(packages.withColumn("listed", F.lit(True)), "package", "left")
     )
-    width = F.col("file_size") / F.greatest(F.col("line_count"), F.lit(1))
     says = lambda pattern, where: F.coalesce(F.col(where).rlike(pattern), F.lit(False))
     yes = lambda column: F.coalesce(column, F.lit(False))
+    # The mean line without the longest one, which alone proves nothing.
+    rest = F.when(F.col("line_count") > 1, (F.col("file_size") - F.col("longest_line")) / (F.col("line_count") - 1)).otherwise(F.col("file_size"))
+    expansion = F.col("canonical") / F.greatest(F.col("lines"), F.lit(1))
+    whole = rest / F.greatest(F.col("width"), F.lit(16.0))  # a head of a few signs says little of the width
+    even = F.col("file_size") / (F.greatest(F.col("line_count"), F.lit(1)) * (F.col("longest_line") + 1))
+    minified = yes((expansion >= EXTREME) & (F.col("canonical") >= 6) & F.coalesce(whole >= EXTREME, F.lit(True)))
+    numbers = yes((F.col("literals") >= 12) & (F.col("literals") >= DOMINANT * (F.col("literals") + F.col("words"))))
+    # Lines of one shape, and in the whole file of one width, or without breaks.
+    uniform = yes((F.col("uniform") >= 0.9) & (F.col("canonical") >= 3) & ((even >= 0.9) & (F.col("line_count") >= 100) | (whole >= EXTREME)))
+    literal_share = F.col("literals") / F.greatest(F.col("literals") + F.col("words"), F.lit(1))
     vendored = yes(F.col("copied")) | yes(F.col("listed")) | (F.col("package") != "") | says(COPY_COMMENTS, "comments")
     generated = (
         says(rf"/({GENERATED_FOLDERS})/", "path") | says(f"(?i){GENERATED_NAMES}", "path") | says(LOCK_FILES, "path") | says(TOOL_COMMENTS, "comments")
     )
-    # Lines are long on the whole, not one of them alone.
-    long_lines = yes(width >= 1000) | yes(F.col("file_size").isNull() & (F.col("longest_line") >= 5000) & (F.col("line_count") <= 5))
-    numeric = yes((F.col("numbers") >= 0.8) & (F.col("number_count") >= 12))
-    full_lines = yes((F.col("line_count") >= 200) & (width >= 0.96 * (F.col("longest_line") + 1)))
-    minified = says(f"(?i){BUNDLE_NAMES}", "path") | long_lines | yes(long_lines & (F.col("expansion") >= 4))
     origin = (
         F.when(vendored, "vendored")
-        .when(numeric | full_lines, "data")
-        .when(generated, "generated")
-        .when(minified, "minified")
+        .when(numbers | (uniform & (literal_share >= 0.3)), "data")
+        .when(generated | uniform, "generated")
+        .when(minified | says(f"(?i){BUNDLE_NAMES}", "path"), "minified")
         .otherwise("handwritten")
     )
-    return rows.select("file_path", origin.alias("origin"), "expansion", "numbers", width.alias("mean_width"), "symbol_count")
+    return rows.select("file_path", origin.alias("origin"), expansion.alias("expansion"), whole.alias("whole_expansion"), literal_share.alias("literal_share"), "uniform", "symbol_count")

@@ -1,6 +1,7 @@
 from datetime import datetime
 
 from symweave.llm.handwritten import classified
+from symweave.llm.layout import canonical, measured, tokens
 
 FILES = "file_path string, checksum string, symbol_count int, file_size bigint, indexed_at timestamp_ntz, origin string"
 HEADS = "file_path string, line_count int, longest_line int, head string, checksum string"
@@ -44,3 +45,46 @@ def test_origins(spark):
 
 def test_empty(spark):
     assert classified(spark.createDataFrame([], FILES), spark.createDataFrame([], HEADS), spark.createDataFrame([], SUMS)).count() == 0
+
+
+def untold(spark, strip=False):
+    """Origins of files that neither path nor comment gives away, with whole heads or only their comments."""
+    squeezed = "/*! x */function a(b){var c=b.d(5);return c?d[2]:!0};function e(f){return f.g(3)?h[1]:!1};function i(j){k(l);m(n);return o}"
+    printed = "\n".join(f'    case {k}: return "name_{k:04d}";' for k in range(1000, 1006))
+    cases = {
+        "/p/src/wrapped.js": ("minified", squeezed, 90_000, 190, 500),
+        "/p/src/whole.css": ("minified", ".a{margin:1px;color:#fff}.b{margin:2px;color:#eee}.c{margin:3px;color:#ddd}", 50_000, 1, 50_000),
+        "/p/src/unknown.js": ("minified", squeezed, None, None, None),
+        "/p/src/names.c": ("generated", printed, 33_000, 1000, 33),
+        "/p/src/rows.sql": ("data", "insert into t values (17, 'ab');\n" * 4, 330_000, 10_000, 33),
+        "/p/src/bytes.go": ("data", "var b = []byte{\n" + "0x10, 0x22, 0x9f, 0x00,\n" * 5, 330_000, 13_000, 25),
+        "/p/src/one_line.json": ("data", "[[" + "39, 231, 19, 238, " * 9, 900_000, 1, 900_000),
+        "/p/src/short.js": ("handwritten", "const a = { b: 1, c: 2 }; const d = e(a); f(d); g(d); h(d);\n", 3000, 90, 80),
+        "/p/src/list.go": ("handwritten", 'import "a/b"\nimport "a/c"\nimport "a/d"\nimport "a/e"\n', 3000, 100, 90),
+        "/p/src/conf.yaml": ("handwritten", "a:\n  b: 1\n  c: 2\n  d: 3\n", 3000, 100, 60),
+        "/p/src/text.md": ("handwritten", "# A;b;c;d;e;f;g;h;i;j;k;l\n" * 3, 90_000, 100, 900),
+    }
+    heads = [(p, c[3], c[4], "\n".join(t for k, t in tokens(c[1], "js") if k == "comment") if strip else c[1], "") for p, c in cases.items()]
+    files = [(p, None, None, c[2], NOW, "") for p, c in cases.items()]
+    rows = classified(spark.createDataFrame(files, FILES), spark.createDataFrame(heads, HEADS), spark.createDataFrame([], SUMS)).collect()
+    return {r.file_path: r.origin for r in rows}, {p: c[0] for p, c in cases.items()}
+
+
+def test_layout_alone_decides(spark):
+    got, want = untold(spark)
+    assert got == want
+
+
+def test_nothing_is_found_without_code(spark):
+    got, _ = untold(spark, strip=True)
+    assert set(got.values()) == {"handwritten"}
+
+
+def test_canonical_layout():
+    written = lambda head, suffix: [" ".join(t for _, t in line) for line in canonical(tokens(head, suffix))]
+    assert written("for(i=0;i<3;i++){a(b);};c()", "js") == ["for ( i = 0 ; i < 3 ; i + + ) {", "a ( b ) ;", "} ;", "c ( )"]
+    assert written("# c\nx = [1,\n  2]\ny = 'a#b'  # d", "py") == ["x = [ 1 , 2 ]", "y = 'a#b'"]
+    assert written("-- c\nselect a -- d\nfrom b;", "sql") == ["select a", "from b ;"]
+    assert measured("", "js")[1:] == (0, 0, 0.0, 0, 0, 0.0) and measured('"open', "js").literals == 1
+    long = measured("/* " + "x" * 100_000 + " */" + "a;" * 50_000, "js")
+    assert (long.lines, long.canonical) == (1, 50_000)
