@@ -21,15 +21,32 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return out
 
 
-def kmeans(x: np.ndarray, k: int, rounds: int = 6, seed: int = 0) -> np.ndarray:
+def spread_start(x: np.ndarray, k: int, random: np.random.Generator) -> np.ndarray:
+    """``k`` rows as first centres: each next batch is drawn in proportion to the squared distance from those before."""
+    centres = [x[random.choice(len(x), 1)]]
+    left = ((x - centres[0]) ** 2).sum(1)
+    own = (x * x).sum(1)
+    n = 1
+    while n < k and left.sum() > 0:
+        some = np.unique(random.choice(len(x), min(k - n, max(8, n // 2)), p=left / left.sum()))
+        new = x[some]
+        far = (own[:, None] + (new * new).sum(1) - 2 * x @ new.T).min(1)
+        left = np.minimum(left, np.maximum(far, 0))
+        left[some] = 0
+        centres.append(new)
+        n += len(new)
+    return np.concatenate(centres)
+
+
+def kmeans(x: np.ndarray, k: int, rounds: int = 6, seed: int = 0, spread: bool = False) -> np.ndarray:
     """Centres of ``k`` clusters, or of fewer if there are fewer rows."""
     random = np.random.default_rng(seed)
     k = min(k, len(x))
-    centres = x[random.choice(len(x), k, replace=False)].copy()
+    centres = spread_start(x, k, random) if spread else x[random.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
         at = _nearest(x, centres)
         order = np.argsort(at, kind="stable")
-        n = np.bincount(at, minlength=k)
+        n = np.bincount(at, minlength=len(centres))
         held = np.flatnonzero(n)
         sums = np.add.reduceat(x[order], (np.cumsum(n) - n)[held], axis=0)
         centres[held] = sums / n[held, None]
@@ -40,11 +57,19 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 6, seed: int = 0) -> np.ndarray:
 
 @dataclass
 class Codebooks:
-    """The cells, the regions they lie in, and the residual codebooks."""
+    """The coarse cells, the regions they lie in, and the residual codebooks.
+
+    A cell is named by the first ``1 + depth`` places of the code: the coarse cell and entries of
+    the first ``depth`` codebooks. So the number of cells can grow with the data while the sample
+    that they are learnt from doesn't.
+    """
 
     cells: np.ndarray  # k0 x d
-    regions: np.ndarray  # k0, the region of each cell
     books: np.ndarray  # levels x k x d
+    depth: int
+    first_region: np.ndarray  # k0, the first region of each coarse cell
+    parts: np.ndarray  # k0, in how many regions it is cut
+    place: np.ndarray  # k, the place of each entry of the first codebooks along their main axis
 
     def prepare(self) -> None:
         levels, k, d = self.books.shape
@@ -54,48 +79,79 @@ class Codebooks:
         self.book_gram = (flat @ flat.T).reshape(levels, k, levels, k)
         self.cell_gram = (self.cells @ flat.T).reshape(len(self.cells), levels, k)
 
-    def near_cells(self, x: np.ndarray, n: int) -> np.ndarray:
-        """The ``n`` nearest cells of each row, nearest first."""
+    @property
+    def regions(self) -> int:
+        return int((self.first_region + self.parts).max())
+
+    def coarse(self, x: np.ndarray, n: int) -> np.ndarray:
+        """The ``n`` nearest coarse cells of each row, nearest first."""
         score = self.cell_norms - 2 * (x @ self.cells.T)
         n = min(n, score.shape[1])
         top = np.argpartition(score, n - 1, axis=1)[:, :n] if n < score.shape[1] else np.tile(np.arange(n), (len(x), 1))
         order = np.argsort(np.take_along_axis(score, top, 1), axis=1, kind="stable")
         return np.take_along_axis(top, order, 1)
 
-    def encode(self, x: np.ndarray, starts: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Codes (cell, then one per level) and squared norms of the approximations.
-
-        The beam begins with the given cells and keeps the ``beam`` best partial sums; the error
-        of a partial sum s is |s|^2 - 2 x.s, up to a constant.
+    def names(self, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number and the region of the cells with these codes (last axis: coarse cell, entries)."""
+        k = self.books.shape[1]
+        number, at = prefix[..., 0].astype(np.int64), np.zeros(prefix.shape[:-1], np.int64)
+        for level in range(self.depth):
+            number = number * k + prefix[..., 1 + level]
+            at = at * k + self.place[level][prefix[..., 1 + level]]
+        region = self.first_region[prefix[..., 0]] + at * self.parts[prefix[..., 0]] // k**self.depth
+        return number, region
+
+    def encode(self, x: np.ndarray, beam: int, spill: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Codes (coarse cell, then one entry per level), squared norms of the approximations, and the
+        codes of the ``spill`` nearest cells with their squared distances, nearest first.
+
+        The beam begins with the nearest coarse cells and keeps the ``beam`` best partial sums; the
+        error of a partial sum s is |s|^2 - 2 x.s, up to |x|^2.
         """
         n, levels, k = len(x), *self.books.shape[:2]
         inner = (x @ self.books.reshape(levels * k, -1).T).reshape(n, levels, k)
-        starts = starts[:, :beam]
+        wide = max(beam, spill)
+        starts = self.coarse(x, wide)
         rows = np.arange(n)[:, None]
-        dot = (x[:, None, :] * self.cells[starts]).sum(-1)
+        dot = np.einsum("nd,nbd->nb", x, self.cells[starts])
         norm = self.cell_norms[starts]
         codes = starts[:, :, None]
-        for level in range(levels):
+        own = (x * x).sum(1)[:, None]
+        for level in range(levels + 1):
+            if level == self.depth:
+                error = norm - 2 * dot
+                order = np.argsort(error, axis=1, kind="stable")
+                near = codes[rows, order[:, :spill]]
+                distance = np.maximum(np.take_along_axis(error, order[:, :spill], 1) + own, 0)
+                codes, norm, dot = codes[rows, order[:, :beam]], np.take_along_axis(norm, order[:, :beam], 1), np.take_along_axis(dot, order[:, :beam], 1)
+            if level == levels:
+                break
             cross = self.cell_gram[codes[:, :, 0], level]
             for before in range(level):
                 cross = cross + self.book_gram[before, codes[:, :, 1 + before], level]
             norms = norm[:, :, None] + self.book_norms[level] + 2 * cross
             dots = dot[:, :, None] + inner[:, None, level]
             error = (norms - 2 * dots).reshape(n, -1)
-            keep = min(beam, error.shape[1])
+            keep = min(beam if level >= self.depth else wide, error.shape[1])
             best = np.argpartition(error, keep - 1, axis=1)[:, :keep]
             from_, to = best // k, best % k
             codes = np.concatenate([codes[rows, from_], to[:, :, None]], axis=2)
             norm = np.take_along_axis(norms.reshape(n, -1), best, 1)
             dot = np.take_along_axis(dots.reshape(n, -1), best, 1)
         won = (norm - 2 * dot).argmin(1)
-        return codes[np.arange(n), won], norm[np.arange(n), won].astype(np.float32)
+        return codes[np.arange(n), won], norm[np.arange(n), won].astype(np.float32), near, distance
+
 
+def train(
+    sample: np.ndarray, cells: int, *, levels: int, entries: int, depth: int = 0, rows: int | None = None, region_rows: int | None = None, seed: int = 0
+) -> Codebooks:
+    """Codebooks from a sample of ``rows`` rows, with regions of about ``region_rows``.
 
-def train(sample: np.ndarray, cells: int, regions: int, *, levels: int, entries: int, seed: int = 0) -> Codebooks:
-    """Codebooks from a sample. Cells that hold far more of it than others are split again."""
-    centres = kmeans(sample, cells, seed=seed)
-    most = max(8, 2 * len(sample) // max(1, len(centres)))
+    Cells that hold very much of the sample are split again, so that no cell holds a large share.
+    """
+    rows, region_rows = rows or len(sample), region_rows or rows or len(sample)
+    centres = kmeans(sample, cells, rounds=8, seed=seed, spread=True)
+    most = max(16, 20 * len(sample) // max(1, len(centres)))
     for again in range(4):
         at = _nearest(sample, centres)
         n = np.bincount(at, minlength=len(centres))
@@ -112,15 +168,40 @@ def train(sample: np.ndarray, cells: int, regions: int, *, levels: int, entries:
         book[: len(got)] = got
         left = left - book[_nearest(left, book)]
         books.append(book)
-    weight = np.bincount(at, minlength=len(centres)).astype(float) + 1e-3
-    found = Codebooks(centres.astype(np.float32), _balanced(centres, weight, regions), np.stack(books))
+    share = np.bincount(at, minlength=len(centres)) / len(sample)
+    parts = np.clip(np.ceil(share * rows / region_rows), 1, entries**depth).astype(np.int64)
+    whole = np.flatnonzero(parts == 1)
+    region = np.zeros(len(centres), np.int64)
+    regions = 0
+    if len(whole):
+        wanted = max(1, round(share[whole].sum() * rows / region_rows))
+        region[whole] = _balanced(centres[whole], share[whole] + 1e-9, min(wanted, len(whole)))
+        regions = int(region[whole].max()) + 1
+    for c in np.flatnonzero(parts > 1):
+        region[c], regions = regions, regions + int(parts[c])
+    place = np.stack([_along(b) for b in books[:depth]]) if depth else np.zeros((0, entries), np.int64)
+    found = Codebooks(centres.astype(np.float32), np.stack(books), depth, region, parts, place)
     found.prepare()
     return found
 
 
+def _axis(x: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    axis = np.random.default_rng(0).normal(size=x.shape[1])
+    for _ in range(12):
+        axis = x.T @ (weight * (x @ axis))
+        axis /= np.linalg.norm(axis) + 1e-30
+    return axis
+
+
+def _along(book: np.ndarray) -> np.ndarray:
+    """The place of each entry in the order along the main axis."""
+    x = book - book.mean(0)
+    return np.argsort(np.argsort(x @ _axis(x, np.ones(len(x))), kind="stable"), kind="stable")
+
+
 def _balanced(centres: np.ndarray, weight: np.ndarray, regions: int) -> np.ndarray:
     """A region for each cell: halves along the main axis, again and again, of equal weight."""
-    out = np.zeros(len(centres), np.int32)
+    out = np.zeros(len(centres), np.int64)
     groups = [np.arange(len(centres))]
     while len(groups) < regions:
         groups.sort(key=lambda g: -weight[g].sum() if len(g) > 1 else 0.0)
@@ -128,11 +209,7 @@ def _balanced(centres: np.ndarray, weight: np.ndarray, regions: int) -> np.ndarr
             break
         g = groups.pop(0)
         x = centres[g] - np.average(centres[g], axis=0, weights=weight[g])
-        axis = np.random.default_rng(0).normal(size=x.shape[1])
-        for _ in range(12):
-            axis = x.T @ (weight[g] * (x @ axis))
-            axis /= np.linalg.norm(axis) + 1e-30
-        order = np.argsort(x @ axis, kind="stable")
+        order = np.argsort(x @ _axis(x, weight[g]), kind="stable")
         cut = int(np.searchsorted(np.cumsum(weight[g][order]), weight[g].sum() / 2))
         cut = min(max(1, cut), len(g) - 1)
         groups += [g[order[:cut]], g[order[cut:]]]

@@ -54,29 +54,42 @@ def matrix(column: pa.Array | pa.ChunkedArray, width: int) -> tuple[np.ndarray,
     return x[fine], good
 
 
-def fit(vectors: DataFrame, width: int, rows: int, *, sample_rows: int, cell_rows: int, region_rows: int, levels: int, entries: int) -> Codebooks | None:
-    """Codebooks from about ``sample_rows`` rows at most, chosen by the hash of their id."""
+def fit(vectors: DataFrame, width: int, *, sample_rows: int, cell_rows: int, region_rows: int, levels: int, entries: int) -> Codebooks | None:
+    """Codebooks from about ``sample_rows`` usable vectors, at most twice as many, chosen by the hash of their id.
+
+    At most a twelfth of the sample are coarse cells; where the rows need more cells of about
+    ``cell_rows``, cells are told apart by the first places of the code too.
+    """
+    rows = vectors.count()
     share = min(1.0, sample_rows / max(1, rows))
-    chosen = vectors.where(F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("embedding")
 
     def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, _ = matrix(b.column(0), width)
             yield pa.record_batch([pa.array([pack(x)], pa.binary()), pa.array([len(x)], pa.int32())], ["x", "n"])
 
-    parts = [unpack(bytes(r["x"]), r["n"], width) for r in chosen.mapInArrow(only, "x binary, n int").collect()]
-    sample = np.unique(np.concatenate([np.zeros((0, width), np.float32), *parts]), axis=0)
+    while True:
+        chosen = vectors.where(F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else vectors
+        # Repeats of an id are one row, so that the bound holds however often it is repeated.
+        one = chosen.groupBy("id").agg(F.max("embedding").alias("embedding")).select("embedding")
+        parts = [unpack(bytes(r["x"]), r["n"], width) for r in one.mapInArrow(only, "x binary, n int").collect()]
+        sample = np.unique(np.concatenate([np.zeros((0, width), np.float32), *parts]), axis=0)
+        if share == 1.0 or len(sample) >= sample_rows // 4:
+            break
+        share = min(1.0, 8 * share)  # few of the rows are usable or different
     if not len(sample):
         return None
-    cells = max(1, min(4096, len(sample) // 8, math.ceil(rows / cell_rows)))
-    regions = max(1, 2 ** math.ceil(math.log2(max(1.0, rows / region_rows))))
-    return train(sample, cells, min(regions, cells), levels=levels, entries=min(entries, len(sample)))
+    cells = max(1, min(len(sample) // 12, math.ceil(rows / cell_rows)))
+    depth = 0
+    while cells * entries**depth * 4 * cell_rows < rows and depth < levels:
+        depth += 1
+    return train(sample, cells, levels=levels, entries=min(entries, len(sample)), depth=depth, rows=rows, region_rows=region_rows)
 
 
-_BLOCK = "region int, n int, ids binary, h binary, several binary, cells binary, codes binary, norms binary, x binary"
+_BLOCK = "region int, n int, ids binary, h binary, several binary, home binary, cells binary, codes binary, norms binary, x binary"
 
 
-def _blocks(books: Codebooks, width: int, spill: int, beam: int):
+def _blocks(books: Codebooks, width: int, spill: int, beam: int, reach: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, good = matrix(b.column("embedding"), width)
@@ -91,20 +104,20 @@ def _blocks(books: Codebooks, width: int, spill: int, beam: int):
             rows = []
             for a in range(0, len(x), 2048):
                 part = slice(a, a + 2048)
-                near = books.near_cells(x[part], max(spill, beam))
-                codes, norms = books.encode(x[part], near, beam)
-                near = near[:, :spill]
-                regions = books.regions[near]
-                for r in np.unique(regions):
+                codes, norms, prefix, far = books.encode(x[part], beam, spill)
+                near, regions = books.names(prefix)
+                off = far > reach * far[:, :1]  # never the nearest one
+                near[off], regions[off] = -1, -1
+                for r in np.unique(regions[regions >= 0]):
                     m = (regions == r).any(1)
                     rows.append(
                         (
                             int(r), int(m.sum()), ids[part][m].tobytes(), h[part][m].tobytes(), several[part][m].tobytes(),
-                            near[m].astype(np.int32).tobytes(), codes[m].astype(np.int32).tobytes(), norms[m].tobytes(), pack(x[part][m]),
+                            regions[m, 0].astype(np.int32).tobytes(), near[m].tobytes(), codes[m].astype(np.uint16).tobytes(), norms[m].tobytes(), pack(x[part][m]),
                         )
                     )
-            columns = list(zip(*rows)) if rows else [[]] * 9
-            types = [pa.int32(), pa.int32()] + [pa.binary()] * 7
+            columns = list(zip(*rows)) if rows else [[]] * 10
+            types = [pa.int32(), pa.int32()] + [pa.binary()] * 8
             names = [c.split()[0] for c in _BLOCK.split(", ")]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names)
 
@@ -120,10 +133,10 @@ def _read(table: pa.Table, books: Codebooks, width: int) -> dict[str, np.ndarray
         got = np.concatenate([np.frombuffer(r[name], kind) for r in rows])
         return got.reshape(sum(n), wide) if wide > 1 else got
 
-    spill = len(rows[0]["cells"]) // 4 // n[0]
+    spill = len(rows[0]["cells"]) // 8 // n[0]
     out = {
-        "ids": joined("ids", np.int64), "h": joined("h", np.int64), "several": joined("several", np.bool_),
-        "cells": joined("cells", np.int32, spill).reshape(-1, spill), "codes": joined("codes", np.int32, levels + 1), "norms": joined("norms", np.float32),
+        "ids": joined("ids", np.int64), "h": joined("h", np.int64), "home": joined("home", np.int32), "several": joined("several", np.bool_),
+        "cells": joined("cells", np.int64, spill).reshape(-1, spill), "codes": joined("codes", np.uint16, levels + 1), "norms": joined("norms", np.float32),
     }
     x = np.empty((sum(n), width), np.float32)
     at = 0
@@ -149,30 +162,31 @@ def _region(books: Codebooks, width: int, k: int, shortlist: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         v = _read(table, books, width)
         region = key[0].as_py()
-        home = v["cells"][:, 0]
-        norms = (v["x"] ** 2).sum(1)
+        home, mine = v["cells"][:, 0], v["home"] == region
         posting_cell = v["cells"].ravel()
         order = np.argsort(posting_cell, kind="stable")
         posting_row = order // v["cells"].shape[1]
         sorted_cells = posting_cell[order]
         out: list[list] = [[], [], [], [], []]
-        for cell in np.unique(home[books.regions[home] == region]):
-            queries = np.flatnonzero(home == cell)
+        for cell in np.unique(home[mine]):
+            queries = np.flatnonzero((home == cell) & mine)
             a, b = np.searchsorted(sorted_cells, [cell, cell + 1])
             candidates = posting_row[a:b]
             if len(candidates) < min(len(home), 8 * k):
                 candidates = np.arange(len(home))
-            for start in range(0, len(queries), 512):
-                q = queries[start : start + 512]
-                picked = search(books, v["x"][q], v["codes"][candidates], v["norms"][candidates], min(len(candidates), shortlist + 1))
-                inner = v["x"][q] @ v["x"][candidates].T
-                d2 = norms[candidates][picked] - 2 * np.take_along_axis(inner, picked, 1)
-                near = candidates[picked]
+            for start in range(0, len(queries), 128):
+                q = queries[start : start + 128]
+                own = v["x"][q]
+                near = candidates[search(books, own, v["codes"][candidates], v["norms"][candidates], min(len(candidates), shortlist + 1))]
+                # Exact distances, of the shortlist only.
+                listed = np.take(v["x"], near, axis=0)
+                listed -= own[:, None]
+                d2 = np.einsum("qsd,qsd->qs", listed, listed)
                 d2[near == q[:, None]] = np.inf
                 few = min(2 * k, d2.shape[1])
                 best = np.argpartition(d2, few - 1, axis=1)[:, :few]
                 near = np.take_along_axis(near, best, 1)
-                exact = ((v["x"][near].astype(np.float64) - v["x"][q][:, None].astype(np.float64)) ** 2).sum(-1)
+                exact = ((v["x"][near].astype(np.float64) - own[:, None].astype(np.float64)) ** 2).sum(-1)
                 exact[near == q[:, None]] = np.inf
                 ids = v["ids"][near]
                 rank = np.lexsort((ids, exact), axis=1)[:, :k]
@@ -194,12 +208,13 @@ def nearest(
     width: int,
     k: int = 10,
     spill: int = 3,
-    shortlist: int = 640,
-    beam: int = 3,
-    levels: int = 8,
-    entries: int = 64,
-    sample_rows: int = 16_000,
-    cell_rows: int = 500,
+    reach: float = 1.4,
+    shortlist: int = 400,
+    beam: int = 2,
+    levels: int = 16,
+    entries: int = 32,
+    sample_rows: int = 30_000,
+    cell_rows: int = 100,
     region_rows: int = 12_000,
 ) -> DataFrame:
     """``id, neighbour``: of each id of ``id, embedding`` the ``k`` nearest others, nearly always.
@@ -207,21 +222,19 @@ def nearest(
     By Euclidean distance, the smaller id first among equal distances. Only usable vectors count
     (:func:`matrix`); an id that is given repeatedly, with the same vector, counts once. The
     codebooks are fitted on a sample of about ``sample_rows`` rows; every row is indexed and is a
-    query. Equal vectors are searched for once, and their ids put in afterwards. No rows give no
-    rows.
+    query. A vector is a candidate in its nearest cell and in those of the ``spill`` nearest whose
+    squared distance is at most ``reach`` times as great. Equal vectors are searched for once, and
+    their ids put in afterwards. No rows give no rows.
     """
     vectors = vectors.where("id is not null and embedding is not null")
-    books = fit(
-        vectors, width, vectors.count(), sample_rows=sample_rows, cell_rows=cell_rows, region_rows=region_rows, levels=levels, entries=entries
-    )
+    books = fit(vectors, width, sample_rows=sample_rows, cell_rows=cell_rows, region_rows=region_rows, levels=levels, entries=entries)
     if books is None:
         return vectors.select("id", F.col("id").alias("neighbour")).limit(0)
-    shared = vectors.sparkSession.sparkContext.broadcast(books)  # at most 4096 cells, whatever the data
+    shared = vectors.sparkSession.sparkContext.broadcast(books)  # bounded by the sample, whatever the data
     hashed = vectors.select("id", F.xxhash64("embedding").alias("h"), "embedding")
-    blocks = hashed.mapInArrow(lambda b: _blocks(shared.value, width, spill, beam)(b), _BLOCK)
-    regions = int(books.regions.max()) + 1
+    blocks = hashed.mapInArrow(lambda b: _blocks(shared.value, width, spill, beam, reach)(b), _BLOCK)
     found = cut(
-        blocks.repartition(4 * regions, "region")
+        blocks.repartition(4 * books.regions, "region")
         .groupBy("region")
         .applyInArrow(
             lambda key, t: _region(shared.value, width, k, shortlist)(key, t),

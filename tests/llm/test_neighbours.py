@@ -58,13 +58,42 @@ def test_nothing_to_find(spark, rows):
 def test_codes_and_packing():
     x = np.random.default_rng(0).normal(size=(300, 12)).astype(np.float32)
     assert (unpack(pack(x), 300, 12) == x).all()
-    books = additive.train(x, 10, 4, levels=3, entries=8)
-    codes, norms = books.encode(x, books.near_cells(x, 3), 3)
+    books = additive.train(x, 10, levels=3, entries=8)
+    codes, norms, near, far = books.encode(x, 3, 3)
     sums = books.cells[codes[:, 0]] + sum(books.books[m][codes[:, 1 + m]] for m in range(3))
     assert np.allclose((sums**2).sum(1), norms, rtol=1e-3, atol=1e-3)
-    greedy, _ = books.encode(x, books.near_cells(x, 1), 1)
+    assert np.allclose(((x - books.cells[near[:, 0, 0]]) ** 2).sum(1), far[:, 0], rtol=1e-3, atol=1e-3) and (np.diff(far, axis=1) >= 0).all()
+    greedy = books.encode(x, 1)[0]
     other = books.cells[greedy[:, 0]] + sum(books.books[m][greedy[:, 1 + m]] for m in range(3))
     assert ((x - sums) ** 2).sum() <= ((x - other) ** 2).sum()
     scores = norms[:, None] - 2 * sums @ x[:5].T
     picked = additive.search(books, x[:5], codes, norms, 7)
     assert all(set(picked[q]) == set(np.argsort(scores[:, q])[:7]) for q in range(5))
+
+
+def test_cells_of_two_levels(spark):
+    """With few sample rows the cells go on with the code, and the regions cut coarse cells."""
+    rows = [(i, x, "") for i, x in enumerate(vectors(3000, 16, 4, groups=30))]
+    options = dict(cell_rows=5, region_rows=100, shortlist=120, levels=4, entries=8, sample_rows=300, spill=4)
+    got, want = found(spark, rows, 16, 5, **options), brute(rows, 16, 5)
+    assert len(got & want) >= 0.9 * len(want)
+
+
+def test_names_of_cells():
+    x = np.random.default_rng(0).normal(size=(500, 8)).astype(np.float32)
+    books = additive.train(x, 4, levels=3, entries=4, depth=2, rows=500, region_rows=20)
+    _, _, near, far = books.encode(x, 2, 3)
+    number, region = books.names(near)
+    assert near.shape == (500, 3, 3) and number.max() < 4 * 16 and 20 <= books.regions and region.max() < books.regions
+    sums = books.cells[near[..., 0]] + books.books[0][near[..., 1]] + books.books[1][near[..., 2]]
+    assert np.allclose(((x[:, None] - sums) ** 2).sum(-1), far, rtol=1e-3, atol=1e-3)
+    pairs_ = {(int(n), int(r)) for n, r in zip(number.ravel(), region.ravel())}
+    assert len(pairs_) == len({n for n, _ in pairs_})  # a cell lies in one region
+    assert np.bincount(region[:, 0]).max() < 200
+
+
+def test_sample_of_few_usable_rows(spark):
+    """Repeats and unusable vectors neither starve nor swell the sample."""
+    v = vectors(60, 4, 5)
+    rows = [(i, x, "") for i, x in enumerate(v)] + [(7, v[7], "")] * 800 + [(1000 + i, [0.0] * 4, "") for i in range(800)]
+    assert found(spark, rows, 4, 3, sample_rows=40) == brute(rows, 4, 3)
