@@ -150,7 +150,7 @@ def train(
     Cells that hold very much of the sample are split again, so that no cell holds a large share.
     """
     rows, region_rows = rows or len(sample), region_rows or rows or len(sample)
-    centres = kmeans(sample, cells, rounds=8, seed=seed, spread=True)
+    centres = kmeans(sample, cells, rounds=4, seed=seed, spread=True)
     most = max(16, 20 * len(sample) // max(1, len(centres)))
     for again in range(4):
         at = _nearest(sample, centres)

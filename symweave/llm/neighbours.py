@@ -57,22 +57,23 @@ def matrix(column: pa.Array | pa.ChunkedArray, width: int) -> tuple[np.ndarray,
 def fit(vectors: DataFrame, width: int, *, sample_rows: int, cell_rows: int, region_rows: int, levels: int, entries: int) -> Codebooks | None:
     """Codebooks from about ``sample_rows`` usable vectors, at most twice as many, chosen by the hash of their id.
 
-    At most a twelfth of the sample are coarse cells; where the rows need more cells of about
+    Repeats of an id count once in each task. At most a twelfth of the sample are coarse cells; where the rows need more cells of about
     ``cell_rows``, cells are told apart by the first places of the code too.
     """
     rows = vectors.count()
     share = min(1.0, sample_rows / max(1, rows))
 
     def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # repeats of an id are one row, so that the bound holds however often it is repeated
         for b in batches:
-            x, _ = matrix(b.column(0), width)
-            yield pa.record_batch([pa.array([pack(x)], pa.binary()), pa.array([len(x)], pa.int32())], ["x", "n"])
+            x, good = matrix(b.column(1), width)
+            ids = b.column(0).to_numpy(zero_copy_only=False)[good].tolist()
+            new = [k for k, i in enumerate(ids) if not (i in seen or seen.add(i))]
+            yield pa.record_batch([pa.array([pack(x[new])], pa.binary()), pa.array([len(new)], pa.int32())], ["x", "n"])
 
     while True:
         chosen = vectors.where(F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else vectors
-        # Repeats of an id are one row, so that the bound holds however often it is repeated.
-        one = chosen.groupBy("id").agg(F.max("embedding").alias("embedding")).select("embedding")
-        parts = [unpack(bytes(r["x"]), r["n"], width) for r in one.mapInArrow(only, "x binary, n int").collect()]
+        parts = [unpack(bytes(r["x"]), r["n"], width) for r in chosen.select("id", "embedding").mapInArrow(only, "x binary, n int").collect()]
         sample = np.unique(np.concatenate([np.zeros((0, width), np.float32), *parts]), axis=0)
         if share == 1.0 or len(sample) >= sample_rows // 4:
             break
@@ -163,6 +164,7 @@ def _region(books: Codebooks, width: int, k: int, shortlist: int):
         v = _read(table, books, width)
         region = key[0].as_py()
         home, mine = v["cells"][:, 0], v["home"] == region
+        exact_norms = (v["x"] ** 2).sum(1)
         posting_cell = v["cells"].ravel()
         order = np.argsort(posting_cell, kind="stable")
         posting_row = order // v["cells"].shape[1]
@@ -179,9 +181,11 @@ def _region(books: Codebooks, width: int, k: int, shortlist: int):
                 own = v["x"][q]
                 near = candidates[search(books, own, v["codes"][candidates], v["norms"][candidates], min(len(candidates), shortlist + 1))]
                 # Exact distances, of the shortlist only.
-                listed = np.take(v["x"], near, axis=0)
-                listed -= own[:, None]
-                d2 = np.einsum("qsd,qsd->qs", listed, listed)
+                d2 = exact_norms[near]
+                listed, inner = np.empty((near.shape[1], width), np.float32), np.empty(near.shape[1], np.float32)
+                for i, row in enumerate(near):  # into one buffer, which stays in the cache
+                    np.take(v["x"], row, axis=0, out=listed, mode="clip")
+                    d2[i] -= 2 * np.dot(listed, own[i], out=inner)
                 d2[near == q[:, None]] = np.inf
                 few = min(2 * k, d2.shape[1])
                 best = np.argpartition(d2, few - 1, axis=1)[:, :few]
