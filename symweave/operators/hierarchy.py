@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symweave.session import cut
+from symweave.session import cut, scratch
 
 CLASSES = 31  # line spans are ints
 
@@ -95,92 +95,107 @@ def parent_links(symbols: DataFrame) -> DataFrame:
     return direct.join(enclosing, "id", "left").select("id", F.coalesce("direct", "enclosing").alias("parent"))
 
 
-def _spread(layer: DataFrame, done: DataFrame) -> DataFrame:
-    """Root, depth and path of the nodes of one layer from those of their parents."""
-    above = done.select(F.col("id").alias("parent"), F.col("root_id"), F.col("depth"), F.col("path"))
-    below = F.col("depth") >= 0
-    return layer.join(above, "parent").select(
-        "id",
-        "root_id",
-        F.when(below, F.col("depth") + 1).otherwise(-1).alias("depth"),
-        F.when(below, F.concat("path", F.array("id"))).alias("path"),
-        "size",
-    )
-
-
-def _loops(rest: DataFrame) -> DataFrame:
-    """``id, root_id`` of nodes of which all lead to a loop: the smallest id on that loop."""
-    n = rest.count()
-    jump = rest.select("id", F.col("parent").alias("to"))
-    for _ in range(max(1, n.bit_length())):  # then every jump ends on a loop, as none is longer than n
-        hop = jump.select(F.col("id").alias("to"), F.col("to").alias("next"))
-        jump = cut(jump.join(hop, "to").select("id", F.col("next").alias("to")))
-    on = jump.select(F.col("to").alias("id")).distinct()
-    label = rest.join(on, "id").select("id", F.col("parent").alias("to"), F.col("id").alias("least"))
-    for _ in range(max(1, n.bit_length())):
-        hop = label.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("least").alias("other"))
-        label = cut(label.join(hop, "to").select("id", F.col("next").alias("to"), F.least("least", "other").alias("least")))
-    return jump.join(label.select(F.col("id").alias("to"), F.col("least").alias("root_id")), "to").select("id", "root_id")
-
-
-def hierarchy(links: DataFrame, *, layers: int = 12) -> DataFrame:
+def hierarchy(links: DataFrame, *, layers: int = 12, paths: bool = True) -> DataFrame:
     """``id, root_id, depth, path, descendants`` of each node of ``id, parent``.
 
     ``id`` must be unique and every parent an id. A root has depth 0 and itself as root; its path
     holds the ids from the root to the node. A node on or below a loop has depth -1, no path and
     the smallest id on the loop as root. ``descendants`` counts the nodes below; on a loop it is
-    null. ``layers`` sets how many layers are peeled before doubling takes over the rest; it
-    changes the work, not the result.
+    null. Without ``paths``, path and descendants are left out and nothing is longer than a row.
+    ``layers`` sets how many layers are peeled before doubling takes over the rest; it changes the
+    work, not the result.
     """
-    rest = [cut(links.select("id", "parent", F.lit(1).cast("bigint").alias("size")))]
-    while len(rest) <= layers and not rest[-1].isEmpty():
-        now = rest[-1]
-        children = now.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.lit(True).alias("has"))
-        marked = now.join(children, "id", "left")
-        leaves = marked.where("has is null and parent is not null")
-        sent = leaves.groupBy(F.col("parent").alias("id")).agg(F.sum("size").alias("sent"))
-        left = marked.where("has is not null").join(sent, "id", "left")
-        rest.append(cut(left.select("id", "parent", (F.col("size") + F.coalesce("sent", F.lit(0))).alias("size"))))
-    found = [cut(_finish(rest[-1]))]
-    for now, then in reversed(list(zip(rest, rest[1:]))):
-        layer = now.join(then, "id", "left_anti")
-        roots = layer.where("parent is null").select(
-            "id", F.col("id").alias("root_id"), F.lit(0).alias("depth"), F.array("id").alias("path"), "size"
-        )
-        # The parent of a peeled node lies in a later layer, all of which are done.
-        below = _spread(layer.where("parent is not null"), reduce(DataFrame.union, found))
-        found.append(cut(roots.union(below)))
-    columns = ["id", "root_id", "depth", "path", (F.col("size") - 1).alias("descendants")]
-    return reduce(DataFrame.union, found).select(columns)
+    with scratch() as keep:
+        return keep(cut(_hierarchy(links, layers, paths)))
 
 
-def _finish(rest: DataFrame) -> DataFrame:
-    """Root, depth, path and size of the nodes that peeling has left, by pointer doubling."""
-    empty = rest.select("id", F.col("id").alias("root_id"), F.lit(0).alias("depth"), F.array("id").alias("path"), "size").limit(0)
+def _hierarchy(links: DataFrame, layers: int, paths: bool) -> DataFrame:
+    children = links.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("open"))
+    one = F.lit(1).cast("bigint")
+    # open: how many children haven't been peeled; what has none is the next layer.
+    rest = [cut(links.join(children, "id", "left").select("id", "parent", F.coalesce("open", F.lit(0)).alias("open"), one.alias("size")))]
+    while len(rest) <= layers and not rest[-1].where("open = 0").isEmpty():  # else nothing or loops only are left
+        now = rest[-1]
+        sent = now.where("open = 0 and parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("n"), F.sum("size").alias("sent"))
+        left = now.where("open > 0").join(sent, "id", "left")
+        none = F.lit(0)
+        rest.append(cut(left.select("id", "parent", (F.col("open") - F.coalesce("n", none)).alias("open"), (F.col("size") + F.coalesce("sent", none)).alias("size"))))
+    top = len(rest) - 1
+    peeled = reduce(DataFrame.union, [r.where("open = 0").select("id", "parent", "size", F.lit(k).alias("layer")) for k, r in enumerate(rest[:-1])]) if top else None
+    found = [cut(_finish(rest[-1].select("id", "parent", "size"), paths))]
+    if peeled is None:
+        return found[0]
+    # Each node with the layer of its parent, in a folder for each: a layer reads the children of
+    # the one above only, and every node is read and written once.
+    peeled = cut(peeled)
+    layer_of = peeled.select(F.col("id").alias("parent"), F.col("layer").alias("above"))
+    below = cut(peeled.where("parent is not null").join(layer_of, "parent", "left").withColumn("above", F.coalesce("above", F.lit(top))), "above")
+    path = [F.array("id").alias("path"), "size"] if paths else []
+    roots = peeled.where("parent is null").select("id", F.col("id").alias("root_id"), F.lit(0).alias("depth"), *path, "layer")
+    done: list[DataFrame] = []
+    for layer in range(top, 0, -1):
+        here = roots.where(F.col("layer") == layer).drop("layer") if layer < top else found[0]
+        here = reduce(DataFrame.union, [here, *[d.where(F.col("layer") == layer).drop("layer") for d in done]])
+        parents = here.withColumnRenamed("id", "parent")
+        if paths:
+            parents = parents.drop("size")
+        done.append(cut(_below(below.where(F.col("above") == layer), parents, paths), "layer"))
+    return reduce(DataFrame.union, [found[0], roots.drop("layer"), *[d.drop("layer") for d in done]]).select(_columns(paths))
+
+
+def _columns(paths: bool) -> list:
+    return ["id", "root_id", "depth", *(["path", (F.col("size") - 1).alias("descendants")] if paths else [])]
+
+
+def _below(children: DataFrame, parents: DataFrame, paths: bool) -> DataFrame:
+    """Root, depth and path of nodes from those of their parents."""
+    free = F.col("depth") >= 0
+    path = [F.when(free, F.concat("path", F.array("id"))).alias("path"), "size"] if paths else []
+    return children.join(parents, "parent").select("id", "root_id", F.when(free, F.col("depth") + 1).otherwise(-1).alias("depth"), *path, "layer")
+
+
+def _finish(rest: DataFrame, paths: bool) -> DataFrame:
+    """Root, depth, path and size of the nodes that peeling has left, by pointer doubling.
+
+    First with ids only, which tells loops from trees; paths are then put together in trees only.
+    """
+    schema = "id bigint, root_id bigint, depth int" + (", path array<bigint>, size bigint" if paths else "")
     if rest.isEmpty():
-        return empty
-    # up: the ids above the node, from the furthest that is known to the parent.
+        return rest.sparkSession.createDataFrame([], schema)
     state = cut(
-        rest.select("id", F.col("parent").alias("to"), F.expr("if(parent is null, array(), array(parent))").alias("up"), F.col("size").alias("own"))
+        rest.select("id", F.coalesce("parent", "id").alias("at"), F.expr("if(parent is null, 0L, 1L)").alias("hops"), F.col("parent").isNull().alias("ended"))
     )
-    before, open_ = -1, state.where("to is not null").count()
+    before, open_ = -1, state.where("not ended").count()
     while open_ and open_ != before:
-        # Along a chain each round finishes some node; a round that finishes none leaves only loops.
+        # Along a chain each round ends some node; a round that ends none leaves only loops.
+        state = cut(_doubled(state))
+        before, open_ = open_, state.where("not ended").count()
+    loops = [_loop_rows(rest, state.where("not ended"), paths)] if open_ else []
+    ended = state.where("ended")
+    if not paths:
+        trees = ended.select("id", F.col("at").alias("root_id"), F.col("hops").cast("int").alias("depth"))
+    else:
+        trees = _tree_rows(rest.join(ended.select("id"), "id", "left_semi"))
+    return reduce(DataFrame.union, loops, trees)
+
+
+def _doubled(state: DataFrame) -> DataFrame:
+    """Each node that hasn't ended goes on to where the one it has reached has got."""
+    hop = state.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("hops").alias("more"), F.col("ended").alias("ends"))
+    moved = state.where("not ended").join(hop, "at").select("id", F.col("next").alias("at"), (F.col("hops") + F.col("more")).alias("hops"), F.col("ends").alias("ended"))
+    return state.where("ended").union(moved)
+
+
+def _tree_rows(rest: DataFrame) -> DataFrame:
+    # up: the ids above the node, from the furthest that is known to the parent.
+    state = cut(rest.select("id", F.col("parent").alias("to"), F.expr("if(parent is null, array(), array(parent))").alias("up"), F.col("size").alias("own")))
+    while not state.where("to is not null").isEmpty():
         hop = state.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("up").alias("over"))
-        moving = state.where("to is not null").join(hop, "to")
-        moved = moving.select("id", F.col("next").alias("to"), F.concat("over", "up").alias("up"), "own")
+        moved = state.where("to is not null").join(hop, "to").select("id", F.col("next").alias("to"), F.concat("over", "up").alias("up"), "own")
         state = cut(state.where("to is null").union(moved))
-        before, open_ = open_, state.where("to is not null").count()
-    ended = state.where("to is null")
-    below = (
-        ended.select(F.explode("up").alias("id"), "own").groupBy("id").agg(F.sum("own").alias("below"))
-    )
-    return empty.union(_tree_rows(ended, below)).union(_loop_rows(rest, state) if open_ else empty)
-
-
-def _tree_rows(ended: DataFrame, below: DataFrame) -> DataFrame:
+    below = state.select(F.explode("up").alias("id"), "own").groupBy("id").agg(F.sum("own").alias("below"))
     path = F.concat("up", F.array("id"))
-    return ended.join(below, "id", "left").select(
+    return state.join(below, "id", "left").select(
         "id",
         F.element_at(path, 1).alias("root_id"),
         F.size("up").alias("depth"),
@@ -189,11 +204,28 @@ def _tree_rows(ended: DataFrame, below: DataFrame) -> DataFrame:
     )
 
 
-def _loop_rows(rest: DataFrame, state: DataFrame) -> DataFrame:
-    looped = cut(rest.join(state.where("to is not null").select("id"), "id"))
-    return _loops(looped).select(
-        "id", "root_id", F.lit(-1).alias("depth"), F.lit(None).cast("array<bigint>").alias("path"), F.lit(None).cast("bigint").alias("size")
-    )
+def _loop_rows(rest: DataFrame, state: DataFrame, paths: bool) -> DataFrame:
+    """Nodes of which all lead to a loop, with the smallest id on that loop."""
+    # Where all have got to lies on a loop once going on reaches as many nodes.
+    state = cut(state.select("id", "at"))
+    reached = state.select("at").distinct().count()
+    while True:
+        hop = state.select(F.col("id").alias("at"), F.col("at").alias("next"))
+        state = cut(state.join(hop, "at").select("id", F.col("next").alias("at")))
+        before, reached = reached, state.select("at").distinct().count()
+        if reached == before:
+            break
+    on = state.select(F.col("at").alias("id")).distinct()
+    label = cut(rest.join(on, "id").select("id", F.col("parent").alias("at"), F.col("id").alias("least")))
+    while True:
+        hop = label.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("least").alias("other"))
+        label = cut(label.join(hop, "at").select("id", F.col("next").alias("at"), F.least("least", "other").alias("least"), (F.col("other") < F.col("least")).alias("new")))
+        if label.where("new").isEmpty():
+            break
+        label = label.drop("new")
+    none = [F.lit(None).cast("array<bigint>").alias("path"), F.lit(None).cast("bigint").alias("size")] if paths else []
+    roots = label.select(F.col("id").alias("at"), F.col("least").alias("root_id"))
+    return state.join(roots, "at").select("id", "root_id", F.lit(-1).alias("depth"), *none)
 
 
 def descendants(tree: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symweave.session import parts_for
+from symweave.session import cut, parts_for
 
 NEVER = np.iinfo(np.int64).max
 
@@ -70,14 +70,14 @@ def orphans(refs: DataFrame, parents: DataFrame, *, range_rows: int = 100_000, c
     references come out as often as they are given. Empty inputs give empty results or, without
     parents, every reference.
     """
-    parents = parents.where("k is not null").groupBy("field", "k", "name").agg(F.min("at").alias("since"))
+    parents = cut(parents.where("k is not null").groupBy("field", "k", "name").agg(F.min("at").alias("since")))
     counts = parents.groupBy("field").count().collect()  # one row per kind of reference
     bounds: dict[str, np.ndarray] = {}
     for row in counts:
         n = parts_for(row["count"], range_rows)
         cuts = np.linspace(0, 1, n + 1)[1:-1].tolist()
         held = parents.where(F.col("field") == row["field"])
-        got = held.agg(F.percentile_approx("k", cuts, 10_000)).head()[0] if cuts else []
+        got = held.agg(F.percentile_approx("k", cuts, max(10_000, 10 * n))).head()[0] if cuts else []
         bounds[row["field"]] = np.unique(np.array(got, dtype=np.int64))
     none = np.array([], dtype=np.int64)
 
@@ -89,13 +89,14 @@ def orphans(refs: DataFrame, parents: DataFrame, *, range_rows: int = 100_000, c
             out[mine] = np.searchsorted(bounds.get(f, none), k[mine].to_numpy(), side="left")
         return pd.Series(out)
 
-    refs = refs.withColumn("rng", range_of("field", "k"))
+    # Written once: the counts and the probe read them, and places in files are the same on every attempt.
+    refs = cut(refs.withColumn("rng", range_of("field", "k")))
     parents = parents.withColumn("rng", range_of("field", "k"))
     held = refs.groupBy("field", "rng").count().where(F.col("count") > chunk_rows)
-    chunks = held.select("field", "rng", F.ceil(F.col("count") / chunk_rows).cast("int").alias("chunks"))
-    chunks = F.broadcast(chunks)  # at most one row for every chunk_rows references
+    # A row for every chunk_rows references at most; as a table its size is known, and Spark broadcasts it only if that is small.
+    chunks = cut(held.select("field", "rng", F.ceil(F.col("count") / chunk_rows).cast("int").alias("chunks")))
     refs = refs.join(chunks, ["field", "rng"], "left").withColumn(
-        "chunk", F.coalesce(F.pmod(F.xxhash64("ref_id", "k", "at"), F.col("chunks")), F.lit(0)).cast("int")
+        "chunk", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("chunks")), F.lit(0)).cast("int")
     )
     parents = parents.join(chunks, ["field", "rng"], "left").withColumn(
         "chunk", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("chunks"), F.lit(1)) - 1))

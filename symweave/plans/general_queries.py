@@ -25,15 +25,15 @@ def p2_orphans_by_month(spark: SparkSession, d: str) -> DataFrame:
     return found.select("field", F.date_format("month", "yyyy-MM").alias("month"), "orphan_calls")
 
 
-def _tree(spark: SparkSession, d: str) -> DataFrame:
+def _tree(spark: SparkSession, d: str, paths: bool = True) -> DataFrame:
     columns = ["id", "name", "file_path", "start_line", "end_line", "parent_id", "parent_name", "indexed_at"]
     rows = cut(h.current_rows(table(spark, d, "symbols").select(columns)))
-    return h.hierarchy(h.parent_links(rows))
+    return h.hierarchy(h.parent_links(rows), paths=paths)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Root and depth of every symbol."""
-    return _tree(spark, d).select("id", "root_id", "depth")
+    return _tree(spark, d, paths=False)
 
 
 def p5_paths(spark: SparkSession, d: str) -> DataFrame:

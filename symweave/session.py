@@ -7,6 +7,9 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,30 +51,68 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where that is unset, as in tests, a temporary folder of this machine is used.
+    Only where that is unset and all executors are on this machine, as in tests, a temporary
+    folder of this machine is used; a cluster must name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="symweave-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
+_scratch: ContextVar[list[DataFrame] | None] = ContextVar("scratch", default=None)
+
+
+def cut(df: DataFrame, *by: str) -> DataFrame:
     """Cut lineage: write the rows to a table in the shared folder and read it from there.
 
     Unlike a checkpoint, the table carries no constraints of the plan that made it (which double
-    with every round of a loop) and has its true size. It goes when the session ends.
+    with every round of a loop) and has its true size. With ``by`` it has a folder for each value
+    of these columns. It goes with the :func:`scratch` around it, or when the session ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/symweave-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def parts_for(rows: int, per_part: int, least: int = 1, most: int = 100_000) -> int:
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    fs, at = _hadoop(spark, path)
+    fs.deleteOnExit(at)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._symweave_cut = path
+    if (open_ := _scratch.get()) is not None:
+        open_.append(table)
+    return table
+
+
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables that :func:`cut` writes within, at its end, but for those given to the function it yields."""
+    outer, mine = _scratch.get(), []
+    token = _scratch.set(mine)
+    kept: list[DataFrame] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table)
+        if outer is not None:
+            outer.append(table)
+        return table
+
+    try:
+        yield keep
+    finally:
+        _scratch.reset(token)
+        for table in mine:
+            if not any(table is k for k in kept):
+                fs, at = _hadoop(table.sparkSession, table._symweave_cut)
+                fs.delete(at, True)
+
+
+def parts_for(rows: int, per_part: int, least: int = 1) -> int:
     """How many parts of about ``per_part`` rows hold ``rows`` rows."""
-    return max(least, min(most, math.ceil(rows / per_part)))
+    return max(least, math.ceil(rows / per_part))

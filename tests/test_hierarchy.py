@@ -35,6 +35,7 @@ def test_like_brute_force(spark, seed, layers):
         parent[i] = r.randint(100, 119)
     parent[200] = 200
     rows = tree(spark, parent, layers=layers).cache()
+    assert {x.id: (x.root_id, x.depth) for x in tree(spark, parent, layers=layers, paths=False).collect()} == brute(parent)
     assert {x.id: (x.root_id, x.depth) for x in rows.collect()} == brute(parent)
     below = {}
     for node, (_, depth) in brute(parent).items():
@@ -53,6 +54,16 @@ def test_long_chain_and_hub(spark):
     assert rows[0].descendants == 299 + 2000
 
 
+@pytest.mark.parametrize("paths", [True, False])
+def test_loop_beside_a_tall_chain(spark, paths):
+    """The arrays of the chain don't make those of the loop, or of what hangs on it, grow."""
+    parent = {0: None} | {i: i - 1 for i in range(1, 600)} | {1000 + i: 1000 + (i + 1) % 20 for i in range(20)} | {2000: 1003} | {i: i - 1 for i in range(2001, 2010)}
+    rows = tree(spark, parent, layers=1, paths=paths).collect()
+    assert {x.id: (x.root_id, x.depth) for x in rows} == brute(parent)
+    if paths:
+        assert all(x.path is None for x in rows if x.id >= 1000) and max(len(x.path) for x in rows if x.id < 1000) == 600
+
+
 def test_links(spark):
     data = [
         (1, "A", "f", 1, 50, None, None, NOW, ""),
