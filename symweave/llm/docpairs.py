@@ -1,9 +1,8 @@
 """Functions and methods paired with their documentation.
 
 A table of symbols with qualified names and normalised signatures is built over all files.
-Documented declarations are joined with definitions of the same symbol that have no words of
-their own, overloads being told apart by their signatures, and what has only empty or trivial
-documentation is dropped.
+Declarations are joined with definitions of the same symbol, overloads being told apart by their
+signatures, and then what has only empty or trivial documentation is dropped.
 """
 
 from __future__ import annotations
@@ -12,10 +11,12 @@ import html
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from symweave.session import cut
+
 # Words that speak of the documentation rather than of the function, in English,
 # German and Spanish, and words that carry no content by themselves.
 ABOUT_DOCS = set(
@@ -131,35 +132,107 @@ GENERIC = {"function", "method", "this", "helper", "given", "value", "values", "
 }
 
 
-@F.pandas_udf(T.BooleanType())
-def tells_udf(docstring: pd.Series, name: pd.Series, signature: pd.Series) -> pd.Series:
-    return pd.Series([tells(d, n, s) for d, n, s in zip(docstring, name, signature)], dtype=bool)
+_JUDGED = T.StructType([T.StructField("by", T.IntegerType()), T.StructField("description", T.StringType())])
+
+
+@F.pandas_udf(_JUDGED)
+def _judged(docstring: pd.Series, other: pd.Series, name: pd.Series, signature: pd.Series) -> pd.DataFrame:
+    """Whose docstring tells something, 1 for the symbol's own, else 2 for the other's, 0 for neither, and its text."""
+    by, texts = [], []
+    for own, more, n, s in zip(docstring, other, name, signature):
+        found = next((k for k, d in ((1, own), (2, more)) if d and tells(d, n, s)), 0)
+        by.append(found)
+        texts.append(plain_text(own if found == 1 else more) if found else None)
+    return pd.DataFrame({"by": by, "description": texts})
+
+
+# Languages that write the type of a parameter before its name, or alone; and after it, without a colon.
+TYPE_FIRST = frozenset("c cpp c_sharp java dart groovy php".split())
+NAME_FIRST = frozenset(["go"])
+_RECEIVERS = re.compile(r"[&*]*(?:mut )?(?:self|this|cls)\b|void$|[*/]$")
+_OPEN, _SHUT = "([{<", ")]}>"
+
+
+def _parameters(signature: str, name: str) -> list[str] | None:
+    """The parameters of a signature, split at the commas outside of brackets and strings; None without a list."""
+    named = re.search(rf"(?<!\w){re.escape(name)}\s*(?=[(<])", signature) if name else None
+    at = signature.find("(", named.end() if named else 0)
+    if at < 0:
+        return None
+    out, depth, quote, start = [], 0, "", at + 1
+    for i in range(at + 1, len(signature)):
+        c = signature[i]
+        if quote:
+            quote = "" if c == quote and signature[i - 1] != "\\" else quote
+        elif c in "\"'`":
+            quote = c
+        elif c in _OPEN:
+            depth += 1
+        elif c in _SHUT and not (c == ">" and signature[i - 1] in "-="):
+            if not depth:
+                out.append(signature[start:i])
+                break
+            depth -= 1
+        elif c == "," and not depth:
+            out.append(signature[start:i])
+            start = i + 1
+    else:
+        out.append(signature[start:])  # a cut signature
+    return [p.strip() for p in out if p.strip()]
+
+
+def _outside(text: str, signs: str) -> int:
+    """Where a sign stands outside of brackets first, not doubled or part of an arrow; -1 if nowhere."""
+    depth = 0
+    for i, c in enumerate(text):
+        if c in _OPEN:
+            depth += 1
+        elif c in _SHUT and not (c == ">" and i and text[i - 1] in "-="):
+            depth -= 1
+        elif c in signs and not depth and c not in (text[i - 1 : i], text[i + 1 : i + 2]) and text[i : i + 2] != "=>":
+            return i
+    return -1
+
+
+def parameter_types(signature: str | None, name: str | None = None, language: str | None = None) -> str:
+    """The types of a signature's parameters, without names, defaults and white space.
+
+    ``name: type``, ``type name`` and (in Go) ``name type`` come out alike; an untyped parameter
+    counts as ``?``, and a receiver (self, this) not at all. Commas within brackets separate nothing.
+    """
+    kinds = []
+    for p in _parameters(signature or "", name or "") or []:
+        if _RECEIVERS.match(p):
+            continue
+        if (at := _outside(p, "=")) >= 0:
+            p = p[:at].strip()
+        p = re.sub(r"^(?:@\w+(?:\([^()]*\))?\s+|final\s+|readonly\s+|(?:public|private|protected)\s+)+", "", p)
+        colon = _outside(p, ":")
+        if colon >= 0:
+            kind = p[colon + 1 :]
+        elif language in NAME_FIRST:
+            kind = p.split(None, 1)[-1]
+        elif language in TYPE_FIRST or re.search(r"\w[\s*&]+\w+$", p):
+            named = re.match(r"(.*[\s*&>\]])\w+((?:\[\w*\])*)$", p)
+            kind = named.group(1) + named.group(2) if named and named.group(1).strip() not in ("const", "struct") else p
+        else:
+            kind = "?"
+        kinds.append(re.sub(r"\s+(?=\W)|(?<=\W)\s+", "", kind.strip()))
+    return ",".join(kinds)
 
 
 @F.pandas_udf(T.StringType())
-def plain_text_udf(docstring: pd.Series) -> pd.Series:
-    return docstring.map(lambda d: plain_text(d) if d else None)
-
-
-def normal_signature(signature: Column) -> Column:
-    """The types and number of a signature's parameters, without names, defaults and white space.
-
-    Languages that write ``name: type`` or ``type name`` come out alike; an untyped parameter
-    counts as ``?``, and a receiver (self, this) not at all.
-    """
-    inside = F.regexp_extract(signature, r"^[^(]*(?:\(\w+ \*?\w+\) \w+)?\(([^)]*)", 1)
-    each = F.filter(F.transform(F.split(inside, ","), lambda p: F.trim(F.regexp_replace(p, "=.*$", ""))), lambda p: ~p.rlike(r"^([&*]*(mut )?self|this|cls|)$"))
-    kind = lambda p: F.when(p.contains(":"), F.trim(F.regexp_extract(p, r":\s*(.*)$", 1))).when(
-        p.contains(" "), F.regexp_replace(p, r"\s*\b\w+$", "")
-    ).otherwise("?")
-    return F.concat_ws(",", F.transform(each, kind))
+def _types(signature: pd.Series, name: pd.Series, language: pd.Series) -> pd.Series:
+    return pd.Series([parameter_types(s, n, x) for s, n, x in zip(signature, name, language)], dtype=object)
 
 
 def symbol_table(symbols: DataFrame) -> DataFrame:
-    """The current functions and methods with their qualified names and normalised signatures.
+    """The current functions and methods with a signature, and their qualified names.
 
     The row with the latest ``indexed_at`` of an id is current (rows that tie are taken as equal).
-    Kinds count without case and outer blanks. Null ids are left out.
+    Kinds count without case and outer blanks. Null ids are left out. A qualified name is the path
+    without suffix and without folders of headers and sources, then the parents and the name, however these are
+    joined (``a::b``, ``a.b``) and without type parameters.
     """
     columns = ["name", "kind", "file_path", "signature", "docstring", "parent_name", "language"]
     rows = (
@@ -169,34 +242,44 @@ def symbol_table(symbols: DataFrame) -> DataFrame:
         .select("id", *[F.col(f"row.{c}").alias(c) for c in columns])
     )
     kind = F.lower(F.trim(F.regexp_replace("kind", r"\s+", " ")))
-    folder = F.regexp_extract("file_path", r"^(.*?)[^/\\]*$", 1)
-    stem = F.regexp_extract("file_path", r"([^/\\]*?)(\.[^./\\]*)?$", 1)
-    return rows.where(kind.isin("function", "method")).select(
-        "*",
-        F.concat_ws("/", F.regexp_replace(folder, r"\b(include|src|headers?)\b[/\\]", ""), stem, F.coalesce("parent_name", F.lit("")), "name").alias("qualified"),
-        normal_signature(F.col("signature")).alias("normal"),
+    path = F.regexp_replace(F.regexp_replace(F.coalesce("file_path", F.lit("")), r"\\", "/"), r"^[A-Za-z]:", "")
+    path = F.regexp_replace(F.regexp_replace(path, r"/(?:\.?/)+", "/"), r"(?i)(?:^|/)(?:include|src|source|headers?|inc)(?=/)", "")
+    stem = F.regexp_replace(path, r"(?<=[^/])\.(?:d\.)?[^./]*$", "")
+    inner = F.concat_ws("/", F.when(F.trim("parent_name") != "", F.trim("parent_name")), F.trim("name"))
+    inner = F.regexp_replace(F.regexp_replace(inner, r"<[^<>]*>|\s+", ""), r"::|\.|#", "/")
+    return rows.where(kind.isin("function", "method") & F.col("signature").rlike(r"\S")).select(
+        "id", "name", "signature", "docstring", F.lower(F.trim("language")).alias("language"), F.concat_ws("/", stem, inner).alias("qualified")
     )
 
 
-def documented(symbols: DataFrame) -> DataFrame:
-    """Rows of :func:`symbol_table` whose signature isn't blank and whose docstring tells something."""
-    signed = F.col("signature").rlike(r"\S") & F.col("docstring").rlike(r"\w")
-    return symbol_table(symbols).where(signed).where(tells_udf("docstring", "name", "signature"))
+def counterparts(table: DataFrame) -> DataFrame:
+    """``id, other_id, other``: the docstring of another symbol with the same qualified name and the same parameter types.
+
+    Of several the longest, then that of the smallest id. ``table`` has the columns of :func:`symbol_table`.
+    """
+    table = table.where("name is not null")
+    shared = table.groupBy("qualified").agg(F.count("*").alias("n")).where("n > 1").select("qualified")
+    members = table.join(shared, "qualified").select("id", "qualified", _types("signature", "name", "language").alias("types"), "docstring")
+    keys = ["qualified", "types"]
+    members = cut(members)  # few: overloads, and what is declared apart from its definition
+    best = F.max(F.struct(F.length("docstring").alias("length"), (-F.col("id")).alias("least"), "docstring"))
+    spoken = members.where(F.col("docstring").rlike(r"(?U)\w"))
+    first = spoken.groupBy(*keys).agg(best.alias("first"))
+    second = spoken.join(first, keys).where(F.col("id") != -F.col("first.least")).groupBy(*keys).agg(best.alias("second"))
+    both = members.join(first, keys).join(second, keys, "left")
+    other = F.when(F.col("id") != -F.col("first.least"), F.col("first")).otherwise(F.col("second"))
+    return both.select("id", other.alias("o")).where("o is not null").select("id", (-F.col("o.least")).alias("other_id"), F.col("o.docstring").alias("other"))
 
 
 def pairs(symbols: DataFrame) -> DataFrame:
     """``id, documented_id, signature, description``: code paired with its documentation.
 
-    A documented function stands for itself. One without telling documentation gets that of the
-    declaration with the same qualified name and normalised signature elsewhere (a header and its
-    source, a stub and its module), of several that with the smallest id.
+    Each function is joined with the declaration or definition of the same symbol elsewhere (a
+    header and its source, a stub and its module), overloads being told apart by the types of
+    their parameters. Then what tells nothing is dropped: the description is its own docstring if
+    that tells something, else the other's.
     """
-    # Both sides are read often and are the result of one pass; the table has a row per function.
-    table = symbol_table(symbols).where(F.col("signature").rlike(r"\S"))
-    judged = table.withColumn("tells", F.col("docstring").rlike(r"\w") & tells_udf(F.coalesce("docstring", F.lit("")), "name", "signature"))
-    told = judged.where("tells")
-    silent = judged.where("not coalesce(tells, false)").select("id", "qualified", "normal", "signature")
-    first = told.groupBy("qualified", "normal").agg(F.min(F.struct("id", "docstring")).alias("doc"))
-    own = told.select("id", F.col("id").alias("documented_id"), "signature", "docstring")
-    borrowed = silent.join(first, ["qualified", "normal"]).select("id", F.col("doc.id").alias("documented_id"), "signature", F.col("doc.docstring").alias("docstring"))
-    return own.union(borrowed).select("id", "documented_id", "signature", plain_text_udf("docstring").alias("description"))
+    table = cut(symbol_table(symbols))
+    joined = table.join(counterparts(table), "id", "left").where(F.col("docstring").rlike(r"(?U)\w") | F.col("other_id").isNotNull())
+    judged = joined.select("id", "other_id", "signature", _judged("docstring", "other", "name", "signature").alias("j")).where("j.by > 0")
+    return judged.select("id", F.when(F.col("j.by") == 1, F.col("id")).otherwise(F.col("other_id")).alias("documented_id"), "signature", "j.description")

@@ -57,7 +57,7 @@ def normal_path(path: Column) -> Column:
     """A path with forward slashes only, without drive, repeated slashes and ``.`` steps."""
     path = F.regexp_replace(path, r"\\", "/")
     path = F.regexp_replace(path, "^[A-Za-z]:", "")
-    return F.regexp_replace(path, "/(\\./)*/*(?=/)|/(\\./)+", "/")
+    return F.regexp_replace(path, r"/(?:\.?/)+", "/")
 
 
 _KINDS = {str: T.StringType(), int: T.IntegerType(), float: T.DoubleType()}

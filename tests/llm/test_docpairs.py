@@ -2,7 +2,7 @@ from datetime import datetime
 
 import pytest
 
-from symweave.llm.docpairs import pairs, tells
+from symweave.llm.docpairs import pairs, parameter_types, tells
 
 ROW = "id bigint, name string, kind string, file_path string, signature string, docstring string, parent_name string, language string, indexed_at timestamp_ntz, description string"
 NOW = datetime(2024, 1, 1)
@@ -72,3 +72,48 @@ def test_pairs(spark):
     got = sorted((r.id, r.documented_id) for r in pairs(spark.createDataFrame(rows, ROW)).collect())
     assert got == [(1, 1), (2, 1), (7, 7), (8, 8)]
     assert pairs(spark.createDataFrame([], ROW)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("signature", "name", "language", "types"),
+    [
+        ("int f(int a, char b) {", "f", "c", "int,char"),
+        ("int f(int, char *);", "f", "c", "int,char*"),
+        ("void f(void)", "f", "c", ""),
+        ("int f(unsigned n, char b[8])", "f", "c", "unsigned,char[8]"),
+        ("void put(Map<String, List<Integer>> m, int k) {", "put", "java", "Map<String,List<Integer>>,int"),
+        ("void put(final @Nullable String s)", "put", "java", "String"),
+        ("template <class A, class B> B fold(std::function<B(A, B)> f, B start = B(1, 2))", "fold", "cpp", "std::function<B(A,B)>,B"),
+        ("def f(self, a: dict[str, int] = {}, *args, b=(1, 2)) -> int:", "f", "python", "dict[str,int],?,?"),
+        ("on(name: string, then: (a: number, b: number) => void, last = \",)\"): void", "on", "typescript", "string,(a:number,b:number)=>void,?"),
+        ("func (b *Box) Fill(n int, s []string) error {", "Fill", "go", "int,[]string"),
+        ("fn run(&mut self, f: impl Fn(u8, u8) -> u8)", "run", "rust", "impl Fn(u8,u8)->u8"),
+        ("func f(", "f", "go", ""),
+        (None, "f", "go", ""),
+        ("x = 3", None, None, ""),
+    ],
+)
+def test_parameter_types(signature, name, language, types):
+    assert parameter_types(signature, name, language) == types
+
+
+def test_overloads_templates_and_headers(spark):
+    def row(i, name, signature, doc, path, parent=None):
+        return (i, name, "method", path, signature, doc, parent, "cpp", NOW, "")
+
+    rows = [
+        row(1, "put", "void put(std::map<int, int> m, int k);", "Never blocks.", "C:\\p\\include\\box.hpp", "Box"),
+        row(2, "put", "void put(int k);", "Fails on zero keys.", "C:\\p\\include\\box.hpp", "Box"),
+        row(3, "put", "void put();", "TODO", "C:\\p\\include\\box.hpp", "Box"),
+        row(4, "Box<T>::put", "void Box<T>::put(std::map<int, int> other, int at) {", None, "/p/./src//box.cpp"),
+        row(5, "Box::put", "void Box::put(int key) {", " ", "/p/src/box.cpp"),
+        row(6, "Box::put", "void Box::put() {", None, "/p/src/box.cpp"),
+        row(7, "put", "void put(int k) {", None, "/p/src/box.cpp", "Other"),
+        row(8, "Box::put", "void Box::put(int key) {", "n/a", "/q/src/box.cpp"),
+    ]
+    rows += [row(100 + i, "copy", "void copy(int k) {", None, "/p/src/copy.cpp") for i in range(300)]  # a hot name
+    rows += [row(99, "copy", "void copy(int k);", "Keeps the older one.", "/p/src/copy.h")]
+    got = {r.id: (r.documented_id, r.description) for r in pairs(spark.createDataFrame(rows, ROW)).collect()}
+    assert got == {1: (1, "Never blocks."), 2: (2, "Fails on zero keys."), 4: (1, "Never blocks."), 5: (2, "Fails on zero keys."), 99: (99, "Keeps the older one.")} | {
+        100 + i: (99, "Keeps the older one.") for i in range(300)
+    }
