@@ -25,6 +25,7 @@ SPAN = 1 + max(max(m) for m in MASKS)
 LEAST_WORDS = 12
 MARGIN = 16  # words kept on each side of what the items of a hit can cover
 GRAM = 6  # consecutive words by which a passage is judged as shared by many texts
+PIECE = 2048  # words over which the hits of one region are spread at most
 SHARE = 0.05  # of the texts; what more of them hold (and more than two) is common
 SHIFT = 3  # words that may be missing or additional around a diagonal
 PRIMES = np.array([1_000_003, 7_368_787, 39_916_801, 479_001_599, 87_178_291_199], np.int64)
@@ -87,39 +88,6 @@ def seeds(words: np.ndarray, telling: np.ndarray, plain: np.ndarray) -> tuple[np
     return np.concatenate(out_h), np.concatenate(out_p)
 
 
-def equal_words(item: np.ndarray, text: np.ndarray, diagonal: int) -> np.ndarray:
-    """For each diagonal within ``SHIFT`` of one and each word of the item, whether the text has it there."""
-    at = np.arange(len(item))[None, :] + diagonal + np.arange(-SHIFT, SHIFT + 1)[:, None]
-    inside = (at >= 0) & (at < len(text))
-    return (text[np.where(inside, at, 0)] == item[None, :]) & inside
-
-
-def overlap(equal: np.ndarray, weight: np.ndarray) -> tuple[int, int, float, float, tuple[int, int], tuple[int, int]]:
-    """Of the best aligned stretch along :func:`equal_words`: item words covered, equal ones, the weight of the equal and of all, and diagonal and place of its first word and of its last.
-
-    A match counts 1, a changed word -2, and so does each move to a neighbouring diagonal.
-    """
-    width, n = equal.shape
-    zero = (0.0, 0, 0, 0.0, 0.0, (0, 0))
-    state, best, last = [zero] * width, zero, (0, 0)
-    for j in range(n):
-        w = float(weight[j])
-        old, state = state, []
-        for k in range(width):
-            s = old[k]
-            for m in range(width):
-                if old[m][0] - 2 * abs(m - k) > s[0]:
-                    s = (old[m][0] - 2 * abs(m - k), *old[m][1:])
-            if equal[k, j]:
-                s = (s[0] + 1, s[1] + 1, s[2] + 1, s[3] + w, s[4] + w, s[5] if s[1] else (k, j))
-                if s[0] > best[0]:
-                    best, last = s, (k, j)
-            else:
-                s = (s[0] - 2, s[1] + 1, s[2], s[3], s[4] + w, s[5]) if s[0] > 2 else zero
-            state.append(s)
-    return best[1], best[2], best[3], best[4], best[5], last
-
-
 def enough(n, same, same_told, told):
     """Whether so many covered, equal, equal telling and telling words make a leak; numbers or arrays."""
     return (n >= LEAST_WORDS) & (same >= 0.75 * n) & (same_told >= np.maximum(2, 0.6 * told))
@@ -130,61 +98,147 @@ def enough_apart(n, same, same_told, told):
     return enough(n, same, same_told, told) & ((same >= 0.8 * n) | (same_told >= 0.75 * told))
 
 
-def same_window(equal: np.ndarray, weight: np.ndarray) -> bool:
-    """Whether a window on one diagonal that begins and ends with an equal word is a leak, wherever its changed words are.
+WIDTH = 2 * SHIFT + 1
+_PENALTY = 2.0 * np.abs(np.arange(WIDTH)[:, None] - np.arange(WIDTH)[None, :])
+_STAY = _PENALTY - 0.5 * np.eye(WIDTH)  # of equal scores, the one on the same diagonal
+
+
+class Batch:
+    """Alignments of item texts with document texts, side by side: one for each item, text and diagonal."""
+
+    def __init__(self, items: list[np.ndarray], texts: list[np.ndarray], diagonals: np.ndarray, weights: list[np.ndarray], own: list[np.ndarray]) -> None:
+        n = max(map(len, items))
+        size = len(items)
+        self.lengths = np.array([len(x) for x in items])
+        item, weight, self.own = np.zeros((size, n), np.int64), np.zeros((size, n)), np.zeros((size, n), bool)
+        self.equal = np.zeros((size, WIDTH, n), bool)
+        at = np.arange(n)[None, :] + np.arange(-SHIFT, SHIFT + 1)[:, None]
+        for k, (x, text, w, o) in enumerate(zip(items, texts, weights, own)):
+            item[k, : len(x)], weight[k, : len(x)] = x, w
+            self.own[k, o] = True
+            place = at[:, : len(x)] + diagonals[k]
+            inside = (place >= 0) & (place < len(text))
+            self.equal[k, :, : len(x)] = (text[np.where(inside, place, 0)] == x) & inside
+        self.weight = weight
+
+    def take(self, keep: np.ndarray) -> Batch:
+        out = object.__new__(Batch)
+        for name, value in self.__dict__.items():
+            setattr(out, name, value[keep])
+        return out
+
+    def hopeful(self) -> np.ndarray:
+        """Where some twelve words of the item have eight or more that the text has around there; no leak has fewer."""
+        run = np.cumsum(np.pad(self.equal.any(1), ((0, 0), (1, 0))), 1)
+        n = run.shape[1] - 1
+        return (run[:, LEAST_WORDS:] - run[:, : n - LEAST_WORDS + 1] >= 8).any(1) if n >= LEAST_WORDS else np.zeros(len(run), bool)
+
+    def same_window(self) -> np.ndarray:
+        """Whether a window on one diagonal that begins and ends with an equal word is a leak, wherever its changed words are, or twelve equal words begin at ``own``.
+
+        Of a longer window with enough equal words, one half has enough, so twice the least length will do.
+        """
+        equal, n = self.equal, self.equal.shape[2]
+        same = np.cumsum(np.pad(equal, ((0, 0), (0, 0), (1, 0))), 2)
+        same_told = np.cumsum(np.pad(equal * self.weight[:, None], ((0, 0), (0, 0), (1, 0))), 2)
+        told = np.cumsum(np.pad(self.weight, ((0, 0), (1, 0))), 1)[:, None]
+        found = np.zeros(len(equal), bool)
+        for size in range(LEAST_WORDS, min(n, 2 * LEAST_WORDS) + 1):
+            at = slice(None, n - size + 1)
+            words = same[..., size:] - same[..., at]
+            good = enough_apart(size, words, same_told[..., size:] - same_told[..., at], told[..., size:] - told[..., at])
+            found |= (good & equal[..., at] & equal[..., size - 1 :]).any((1, 2))
+            if size == LEAST_WORDS:
+                found |= ((words == size) & self.own[:, None, at]).any((1, 2))
+        return found
+
+    def stretches(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of the best aligned stretch of each: score, item words covered, equal ones, the weight of the equal and of all, diagonal and place of its first word; and those of its last.
+
+        A match counts 1, a changed word -2, and so does each move to a neighbouring diagonal.
+        """
+        size, _, n = self.equal.shape
+        rows = np.arange(size)
+        state = np.zeros((size, WIDTH, 7))
+        best, last = np.zeros((size, 7)), np.zeros((size, 2), np.int64)
+        for j in range(n):
+            from_ = (state[:, None, :, 0] - _STAY).argmax(2)
+            state = np.take_along_axis(state, from_[:, :, None], 1)
+            state[:, :, 0] -= _PENALTY[np.arange(WIDTH), from_]
+            equal, w = self.equal[:, :, j], self.weight[:, j, None]
+            fresh = equal & (state[:, :, 1] == 0)
+            kept = equal | (state[:, :, 0] > 2)
+            state[:, :, 0] += np.where(equal, 1, -2)
+            state[:, :, 1] += 1
+            state[:, :, 2] += equal
+            state[:, :, 3] += equal * w
+            state[:, :, 4] += w
+            state[~kept] = 0
+            state[fresh, 5] = np.nonzero(fresh)[1]
+            state[fresh, 6] = j
+            top = np.where(equal, state[:, :, 0], -1).argmax(1)
+            better = equal[rows, top] & (state[rows, top, 0] > best[:, 0])
+            best[better] = state[rows, top][better]
+            last[better, 0], last[better, 1] = top[better], j
+        return best, last
+
+    def extended(self, k: int, stretch: np.ndarray, last: np.ndarray) -> bool:
+        """Whether an aligned stretch is a leak with equal words before and after it, past the changed words between."""
+        equal, weight = self.equal[k, :, : self.lengths[k]], self.weight[k, : self.lengths[k]]
+        n, same, same_told, told, d, j = stretch[1:]
+        sides = []
+        for (row, at), step in (((int(d), int(j)), -1), ((int(last[0]), int(last[1])), 1)):
+            e = equal[row, at + step :: step][:LEAST_WORDS] if at + step >= 0 else equal[row, :0]
+            w = weight[at + step :: step][:LEAST_WORDS] if at + step >= 0 else weight[:0]
+            ends = np.concatenate([[0], np.flatnonzero(e) + 1])
+            sides.append([ends, *(np.concatenate([[0], np.cumsum(x)])[ends] for x in (e, e * w, w))])
+        (n1, same1, told1, all1), (n2, same2, told2, all2) = ([x[:, None] for x in sides[0]], sides[1])
+        return bool(enough_apart(n + n1 + n2, same + same1 + same2, same_told + told1 + told2, told + all1 + all2).any())
+
+    def leaks(self) -> np.ndarray:
+        """Whether each is a leak (:func:`are_leaks`)."""
+        found = np.zeros(len(self.lengths), bool)
+        open_ = np.flatnonzero(self.hopeful())
+        if len(open_):
+            found[open_] = self.take(open_).same_window()
+            open_ = open_[~found[open_]]
+        if len(open_):
+            rest = self.take(open_)
+            best, last = rest.stretches()
+            found[open_] = enough(*best[:, 1:5].T)
+            for k in np.flatnonzero(~found[open_] & (best[:, 1] > 0)):
+                found[open_[k]] = rest.extended(k, best[k], last[k])
+        return found
+
+
+def are_leaks(candidates: list[tuple[np.ndarray, np.ndarray, list[int], np.ndarray, np.ndarray]], size: int = 512) -> np.ndarray:
+    """Whether each item (words, text words, diagonals, weights, places of own windows) has a stretch of at least twelve words in the text.
 
-    Of a longer window with enough equal words, one half has enough, so twice the least length will do.
+    Most words must be equal, and of the words that tell items apart most as well and two at
+    least, so that another instance of a common sentence pattern, or a stock phrase, is none.
+    Of the windows that start at the own places, twelve equal words are enough.
     """
-    equal = equal[equal.sum(1) >= 0.75 * LEAST_WORDS]
-    if not len(equal):
-        return False
-    n = equal.shape[1]
-    zero = np.zeros((len(equal), 1))
-    same, same_told = (np.hstack([zero, np.cumsum(x, 1)]) for x in (equal, equal * weight))
-    told = np.concatenate([[0], np.cumsum(weight)])
-    for size in range(LEAST_WORDS, min(n, 2 * LEAST_WORDS) + 1):
-        good = enough_apart(size, same[:, size:] - same[:, :-size], same_told[:, size:] - same_told[:, :-size], (told[size:] - told[:-size])[None, :])
-        if (good & equal[:, : n - size + 1] & equal[:, size - 1 :]).any():
-            return True
-    return False
-
-
-def extended(equal: np.ndarray, weight: np.ndarray, stretch: tuple) -> bool:
-    """Whether an aligned stretch is a leak with equal words before and after it, past the changed words between."""
-    n, same, same_told, told, first, last = stretch
-    sides = []
-    for (k, j), step in ((first, -1), (last, 1)):
-        e = equal[k, j + step :: step][:LEAST_WORDS] if j + step >= 0 else equal[k, :0]
-        w = weight[j + step :: step][:LEAST_WORDS] if j + step >= 0 else weight[:0]
-        ends = np.concatenate([[0], np.flatnonzero(e) + 1])
-        sides.append([ends, *(np.concatenate([[0], np.cumsum(x)])[ends] for x in (e, e * w, w))])
-    (n1, same1, told1, all1), (n2, same2, told2, all2) = ([x[:, None] for x in sides[0]], sides[1])
-    return bool(enough_apart(n + n1 + n2, same + same1 + same2, same_told + told1 + told2, told + all1 + all2).any())
+    tasks = []
+    for k, c in enumerate(candidates):
+        done = None
+        for d in sorted(int(x) for x in c[2]):
+            if done is None or d - done > 1:
+                tasks.append((len(c[0]), k, d))
+                done = d
+    tasks.sort()  # of like length together
+    found = np.zeros(len(candidates), bool)
+    for a in range(0, len(tasks), size):
+        part = [(k, d) for _, k, d in tasks[a : a + size] if not found[k]]
+        if part:
+            chosen = [candidates[k] for k, _ in part]
+            batch = Batch([c[0] for c in chosen], [c[1] for c in chosen], np.array([d for _, d in part]), [c[3] for c in chosen], [c[4] for c in chosen])
+            found[[k for (k, _), good in zip(part, batch.leaks()) if good]] = True
+    return found
 
 
 def is_leak(item: np.ndarray, text: np.ndarray, diagonals: list[int], telling: np.ndarray, own: np.ndarray | None = None) -> bool:
-    """Whether a stretch of at least twelve words of the item is in the text.
-
-    Most words must be equal, and of the words that tell items apart most as well and two at
-    least, so that another instance of a common sentence pattern, or a stock phrase, is none.
-    Of the windows that start at ``own``, twelve equal words are enough.
-    """
-    done: list[int] = []
-    for d in sorted(diagonals):
-        if done and d - done[-1] <= 1:
-            continue
-        done.append(d)
-        equal = equal_words(item, text, d)
-        if same_window(equal, telling):
-            return True
-        if own is not None and len(own):
-            run = np.cumsum(np.pad(equal, ((0, 0), (1, 0))), 1)
-            if (run[:, own + LEAST_WORDS] - run[:, own] == LEAST_WORDS).any():
-                return True
-        stretch = overlap(equal, telling)
-        if enough(*stretch[:4]) or (stretch[0] and extended(equal, telling, stretch)):
-            return True
-    return False
+    """:func:`are_leaks` for one."""
+    return bool(are_leaks([(item, text, diagonals, telling, np.zeros(0, int) if own is None else own)])[0])
 
 
 def item_fields(items: DataFrame) -> DataFrame:
@@ -291,7 +345,9 @@ def _leaked_block(documents: DataFrame, fields: DataFrame, held: DataFrame, many
                     continue
                 order = np.argsort(p, kind="stable")
                 h, p = h[order], p[order]
-                for part in np.split(np.arange(len(p)), np.flatnonzero(np.diff(p) > 2 * reach) + 1):
+                # A region's hits lie within PIECE words, so that a document of repeats doesn't make one huge row.
+                gaps = np.flatnonzero((np.diff(p) > 2 * reach) | (np.diff(p // PIECE) > 0)) + 1
+                for part in np.split(np.arange(len(p)), gaps):
                     a = max(0, p[part[0]] - reach)
                     out.append((doc, a, words[a : p[part[-1]] + reach], h[part], p[part] - a))
             yield pd.DataFrame(out, columns=["doc_id", "region", "words", "h", "p"])
@@ -301,23 +357,22 @@ def _leaked_block(documents: DataFrame, fields: DataFrame, held: DataFrame, many
         .where("text is not null")
         .mapInPandas(regions, "doc_id bigint, region bigint, words array<int>, h array<bigint>, p array<bigint>")
     )
-    hits = (
+    hits = cut(
         near.select("doc_id", "region", F.explode(F.arrays_zip("h", "p")).alias("s"))
         .select("doc_id", "region", F.col("s.h").alias("h"), F.col("s.p").alias("at"))
         .join(test_seeds, "h")
         .groupBy("doc_id", "region", "item_id", "field")
-        .agg(F.collect_set(F.col("at") - F.col("item_at")).alias("diagonals"))
-    )
-    pairs = hits.join(near.select("doc_id", "region", F.col("words").alias("text_words")), ["doc_id", "region"]).join(
-        block.select("item_id", "field", "words", "own"), ["item_id", "field"]
+        .agg(F.collect_set(F.col("at") - F.col("item_at")).alias("diagonals"))  # within PIECE and the longest item
     )
+    # Bounded by block_words, as the vocabulary is.
+    texts = {(r["item_id"], r["field"]): (np.array(r["words"], np.int64), np.array(r["own"], int)) for r in block.select("item_id", "field", "words", "own").collect()}
+    held = documents.sparkSession.sparkContext.broadcast(texts)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            good = [
-                is_leak(np.asarray(w), np.asarray(t), [int(x) for x in d], telling[np.asarray(w)], np.asarray(o, int))
-                for w, t, d, o in zip(b["words"], b["text_words"], b["diagonals"], b["own"])
-            ]
-            yield b.loc[np.array(good, bool), ["doc_id", "item_id"]]
+            found = [(np.asarray(t, np.int64), *held.value[i, f], d) for i, f, t, d in zip(b["item_id"], b["field"], b["text_words"], b["diagonals"])]
+            yield b.loc[are_leaks([(w, t, d, telling[w], o) for t, w, o, d in found]), ["doc_id", "item_id"]]
 
+    # Shuffled to a number of tasks that follows the hits: the alignment is the work, not the bytes.
+    pairs = hits.join(near.select("doc_id", "region", F.col("words").alias("text_words")), ["doc_id", "region"]).repartition(parts_for(hits.count(), 1000, least=8))
     return pairs.mapInPandas(verify, "doc_id bigint, item_id bigint").distinct()

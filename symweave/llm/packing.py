@@ -3,7 +3,7 @@
 Each text, measured in tokens, is placed into the open container whose choice leaves the least
 sum, over all levels, of the squared number of containers filled to that level. The numbers are
 kept in an array by level. Texts are dealt to shards, each of which is packed by itself; what the
-shards leave partly filled is then packed together in fewer and fewer shards.
+shards leave partly filled is dealt to new shards and packed again, as often as that helps.
 """
 
 from __future__ import annotations
@@ -85,18 +85,47 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return placed, np.array(fill, np.int64)
 
 
+def joined(fill: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Containers put together where they fit: of each its new container, and the fill of each new one.
+
+    The fuller come first, each into the fullest that has room. What the rule of squares keeps open
+    for items to come isn't needed once all have come.
+    """
+    order = np.argsort(-fill, kind="stable")
+    open_at: list[list[int]] = [[] for _ in range(capacity + 1)]
+    held = np.zeros(capacity + 1, bool)
+    to, out = np.empty(len(fill), np.int64), []
+    for c, f in zip(order.tolist(), fill[order].tolist()):
+        room = held[1 : capacity - f + 1]
+        back = int(room[::-1].argmax()) if len(room) and room.any() else -1
+        level = len(room) - back if back >= 0 else 0
+        if level:
+            k = open_at[level].pop()
+            held[level] = bool(open_at[level])
+        else:
+            k = len(out)
+            out.append(0)
+        out[k] += f
+        to[c] = k
+        if out[k] < capacity:
+            open_at[out[k]].append(k)
+            held[out[k]] = True
+    return to, np.array(out, np.int64)
+
+
 def _packed(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
     """Items (``item, size``) of one shard with their containers, larger items first."""
     items = items.sort_values(["size", "item"], ascending=[False, True], kind="stable")
     capacity = int(items["capacity"].iloc[0])
     placed, fill = sum_of_squares(items["size"].to_numpy(), capacity)
-    shard = int(items["shard"].iloc[0])
+    to, fill = joined(fill, capacity)
+    placed = to[placed]
     return pd.DataFrame(
         {
             "budget_id": items["budget_id"],
             "capacity": capacity,
             "item": items["item"],
-            "container": (np.int64(shard) << 32) + placed,
+            "container": (np.int64(items["shard"].iloc[0]) << 31) + placed,
             "fill": fill[placed],
         }
     )
@@ -105,9 +134,18 @@ def _packed(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
 _OUT = "budget_id int, capacity int, item bigint, container bigint, fill bigint"
 
 
-def _pack(items: DataFrame, shards: int) -> DataFrame:
-    dealt = items.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("budget_id", "shard").applyInPandas(_packed, _OUT)
+def _pack(items: DataFrame, counts: dict[int, int], shard_items: int, first: int) -> tuple[DataFrame, int]:
+    """The items packed in shards of about ``shard_items``, numbered from ``first``; and the next free number.
+
+    ``counts`` has the number of items of each budget. Of each item the container's number is
+    unlike all others of its budget, below 2^32 shards in all.
+    """
+    shards = {budget: parts_for(n, shard_items) for budget, n in counts.items()}
+    of_budget = F.lit(1)
+    for budget, n in shards.items():  # a few settings
+        of_budget = F.when(F.col("budget_id") == budget, n).otherwise(of_budget)
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64("item"), of_budget) + F.lit(first))
+    return dealt.groupBy("budget_id", "shard").applyInPandas(_packed, _OUT), first + max(shards.values(), default=1)
 
 
 def pack_documents(documents: DataFrame, budgets: DataFrame, ranks_path: str, *, shard_items: int = 50_000) -> DataFrame:
@@ -115,11 +153,11 @@ def pack_documents(documents: DataFrame, budgets: DataFrame, ranks_path: str, *,
 
     A text is split only if it alone exceeds the capacity: into full containers and a rest, which
     is placed like any other text. Copies are placed each. Null and empty texts need no place.
-    Rows of ``budgets`` (``budget_id, capacity``) whose capacity is null or below 1 are left out;
-    with no documents or no budgets there are no rows.
+    Rows of ``budgets`` (``budget_id, capacity``) whose capacity is null or below 1 are left out,
+    of several capacities of one budget the least counts; with no documents or no budgets there are no rows.
     """
     counts = cut(token_counts(documents, ranks_path))
-    wanted = budgets.where("capacity >= 1 and budget_id is not null").select("budget_id", "capacity").distinct().collect()  # a few settings
+    wanted = budgets.where("capacity >= 1 and budget_id is not null").groupBy("budget_id").agg(F.min("capacity").alias("capacity")).collect()  # a few settings
     each = F.array(*[F.struct(F.lit(b["budget_id"]).cast("int").alias("budget_id"), F.lit(b["capacity"]).cast("int").alias("capacity")) for b in wanted])
     sized = counts.select("doc_id", "n_tokens", F.inline(each)) if wanted else counts.selectExpr("doc_id", "n_tokens", "1 as budget_id", "1 as capacity").limit(0)
     # Parts 0, 1, ... of a text: all but the last are whole containers.
@@ -134,22 +172,27 @@ def pack_documents(documents: DataFrame, budgets: DataFrame, ranks_path: str, *,
         "part",
         F.col("capacity").cast("bigint").alias("n_tokens"),
     )
-    shards = parts_for(counts.count(), shard_items)
-    placed = cut(_pack(items.select("budget_id", "capacity", "item", "size"), shards))
-    names = placed.select("budget_id", "capacity", "item", "container", "fill")
-    # What is left partly filled goes into fewer shards, a container being an item of its fill.
-    while shards > 1:
-        fewer = parts_for(shards, 4)
-        partly = names.where(F.col("fill") < 0.98 * F.col("capacity"))
-        again = _pack(
-            partly.select("budget_id", "capacity", F.col("container").alias("item"), F.col("fill").alias("size")).distinct(), fewer
-        ).select("budget_id", F.col("item").alias("container"), (F.col("container") + F.shiftleft(F.lit(shards).cast("bigint"), 48)).alias("to"), F.col("fill").alias("filled"))
+    per_budget = dict.fromkeys((b["budget_id"] for b in wanted), counts.count())
+    packed, shard = _pack(items.select("budget_id", "capacity", "item", "size"), per_budget, shard_items, 0)
+    names = cut(packed)
+    # What is left partly filled is packed again, a container being an item of its fill: the containers
+    # of each budget until one shard was enough for them, or another round lessens them by less than a twentieth.
+    open_ = [b for b, n in per_budget.items() if n > shard_items]
+    while open_:
+        partly = names.where(F.col("budget_id").isin(open_) & (F.col("fill") < 0.98 * F.col("capacity")))
+        partly = partly.select("budget_id", "capacity", F.col("container").alias("item"), F.col("fill").alias("size")).distinct()
+        before = {r["budget_id"]: r["count"] for r in partly.groupBy("budget_id").count().collect()}  # a row for each budget
+        if not before:
+            break
+        packed, shard = _pack(partly, before, shard_items, shard)
+        again = cut(packed.select("budget_id", F.col("item").alias("container"), F.col("container").alias("to"), F.col("fill").alias("filled")))
+        after = {r["budget_id"]: r["n"] for r in again.groupBy("budget_id").agg(F.countDistinct("to").alias("n")).collect()}
         names = cut(
             names.join(again, ["budget_id", "container"], "left").select(
                 "budget_id", "capacity", "item", F.coalesce("to", "container").alias("container"), F.coalesce("filled", "fill").alias("fill")
             )
         )
-        shards = fewer
+        open_ = [budget for budget, n in before.items() if n > shard_items and after[budget] <= 0.95 * n]
     rows = names.join(items.select("budget_id", "item", "last", "size"), ["budget_id", "item"]).select(
         "budget_id", F.concat_ws("-", F.lit("c"), "container").alias("container_id"), F.col("item").alias("doc_id"), F.col("last").alias("part"), F.col("size").alias("n_tokens")
     )

@@ -3,7 +3,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from symweave.llm.leaks import is_leak, leaked, words_of
+from symweave.llm.leaks import SHIFT, WIDTH, Batch, is_leak, leaked, words_of
 
 ITEM = "Count how often the jozijal commit visits a gobibet before the vajajex becomes silent. Keep a fatakax stack and push the bopofox once for each serigeb."
 STOCK = "Answer with one function and no explanation, and mind the edge cases before you start, please."
@@ -100,3 +100,53 @@ def test_empty(spark, items):
 def test_words():
     assert words_of("Don't <b>split</b> snake_case;\u00ad It’s com-\n// pound &amp; caf\u00e9") == ["don", "t", "split", "snake", "case", "it", "s", "compound", "café"]
     assert words_of(None) == words_of("") == []
+
+
+def plain_stretch(equal, weight):
+    """The best aligned stretch, cell by cell."""
+    zero = (0.0, 0, 0, 0.0, 0.0, (0, 0))
+    state, best, last = [zero] * WIDTH, zero, (0, 0)
+    for j in range(equal.shape[1]):
+        old, state = state, []
+        for k in range(WIDTH):
+            s = old[k]
+            for m in range(WIDTH):
+                if old[m][0] - 2 * abs(m - k) > s[0]:
+                    s = (old[m][0] - 2 * abs(m - k), *old[m][1:])
+            if equal[k, j]:
+                s = (s[0] + 1, s[1] + 1, s[2] + 1, s[3] + weight[j], s[4] + weight[j], s[5] if s[1] else (k, j))
+                if s[0] > best[0]:
+                    best, last = s, (k, j)
+            else:
+                s = (s[0] - 2, s[1] + 1, s[2], s[3], s[4] + weight[j], s[5]) if s[0] > 2 else zero
+            state.append(s)
+    return (*best[:5], *best[5]), last
+
+
+def test_alignment_like_cell_by_cell():
+    random = np.random.default_rng(0)
+    items = [random.integers(1, 30, n) for n in random.integers(12, 60, 40)]
+    texts = []
+    for item in items:
+        kept = item[random.random(len(item)) > 0.1]
+        kept = np.where(random.random(len(kept)) < 0.15, 99, kept)
+        texts.append(np.concatenate([random.integers(1, 30, 20), kept, random.integers(1, 30, 20)]))
+    weights = [(random.random(len(x)) < 0.5).astype(float) for x in items]
+    batch = Batch(items, texts, np.full(40, 20), weights, [np.zeros(0, int)] * 40)
+    best, last = batch.stretches()
+    for k, (item, text) in enumerate(zip(items, texts)):
+        at = np.arange(len(item)) + 20 + np.arange(-SHIFT, SHIFT + 1)[:, None]
+        inside = (at >= 0) & (at < len(text))
+        equal = (text[np.where(inside, at, 0)] == item) & inside
+        assert (batch.equal[k, :, : len(item)] == equal).all() and not batch.equal[k, :, len(item) :].any()
+        want, end = plain_stretch(equal, weights[k])
+        assert tuple(best[k]) == pytest.approx(want) and tuple(last[k]) == end
+
+
+def test_repetitive_document(spark):
+    """A long document that repeats an item, or one of its words, over and over stays in bounded pieces."""
+    looped = "tick tock tick tock tick tock tick tock tick tock tick tock tick tock bell bopofox " * 2
+    rows = [(1, ITEM, None, None), (2, looped, None, None)]
+    docs = [(1, (ITEM + " ") * 2000, None), (2, "tick tock " * 30_000, None), (3, looped, None)]
+    got = sorted(tuple(r) for r in leaked(spark.createDataFrame(docs, DOCS), spark.createDataFrame(rows, ITEMS)).collect())
+    assert got == [(1, 1), (2, 2), (3, 2)]

@@ -33,6 +33,15 @@ def test_rule(seed):
     assert sorted(fill.tolist()) == slow(sizes.tolist(), capacity)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_joined(seed):
+    r = np.random.default_rng(seed)
+    fill = r.integers(1, 21, 200)
+    to, out = packing.joined(fill, 20)
+    assert (np.bincount(to, weights=fill) == out).all() and out.max() <= 20 and len(out) <= len(fill)
+    assert len(out) <= 1.25 * -(-fill.sum() // 20) and sorted(out)[0] + sorted(out)[1] > 20  # no two could still be joined
+
+
 @pytest.mark.parametrize("shard_items", [50_000, 7])
 def test_placements(spark, shard_items):
     texts = ["word " * n for n in (1, 3, 5, 40, 64, 65, 130, 9, 9, 9, 2000)] + [None, "", "\n", "naïve ❤ text <|endoftext|>"]
@@ -62,3 +71,19 @@ def test_empty(spark):
     assert packing.pack_documents(docs, budgets, packing.BYTE_BPE).count() == 0
     some = spark.createDataFrame([(1, "text", "")], DOCS)
     assert packing.pack_documents(some, budgets.limit(0), packing.BYTE_BPE).count() == 0
+
+
+def test_containers_that_cannot_be_joined(spark):
+    """No task gets them all, though each is far from full."""
+    docs = spark.range(1000).selectExpr("id as doc_id", "repeat('word ', 40) as text", "'' as capacity")
+    budgets = spark.createDataFrame([(1, 64, None), (2, 90, None)], BUDGETS)
+    rows = packing.pack_documents(docs, budgets, packing.BYTE_BPE, shard_items=60).collect()
+    for budget, most, least in ((1, 1, 1000), (2, 2, 500)):
+        fills, shards = {}, {}
+        for r in rows:
+            if r.budget_id == budget:
+                fills[r.container_id] = fills.get(r.container_id, 0) + 1
+                shard = int(r.container_id[2:]) >> 31
+                shards[shard] = shards.get(shard, 0) + 1
+        assert sum(fills.values()) == 1000 and max(fills.values()) == most and least <= len(fills) <= 1.03 * least
+        assert len(shards) >= 8 and max(shards.values()) <= 150
