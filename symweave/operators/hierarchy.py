@@ -9,6 +9,7 @@ rounds that grows with the logarithm of the height.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -95,7 +96,7 @@ def parent_links(symbols: DataFrame) -> DataFrame:
     return direct.join(enclosing, "id", "left").select("id", F.coalesce("direct", "enclosing").alias("parent"))
 
 
-def hierarchy(links: DataFrame, *, layers: int = 12, paths: bool = True) -> DataFrame:
+def hierarchy(links: DataFrame, *, layers: int = 5, paths: bool = True) -> DataFrame:
     """``id, root_id, depth, path, descendants`` of each node of ``id, parent``.
 
     ``id`` must be unique and every parent an id. A root has depth 0 and itself as root; its path
@@ -106,10 +107,10 @@ def hierarchy(links: DataFrame, *, layers: int = 12, paths: bool = True) -> Data
     work, not the result.
     """
     with scratch() as keep:
-        return keep(cut(_hierarchy(links, layers, paths)))
+        return _hierarchy(links, layers, paths, keep)
 
 
-def _hierarchy(links: DataFrame, layers: int, paths: bool) -> DataFrame:
+def _hierarchy(links: DataFrame, layers: int, paths: bool, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     children = links.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("open"))
     one = F.lit(1).cast("bigint")
     # open: how many children haven't been peeled; what has none is the next layer.
@@ -122,25 +123,25 @@ def _hierarchy(links: DataFrame, layers: int, paths: bool) -> DataFrame:
         rest.append(cut(left.select("id", "parent", (F.col("open") - F.coalesce("n", none)).alias("open"), (F.col("size") + F.coalesce("sent", none)).alias("size"))))
     top = len(rest) - 1
     peeled = reduce(DataFrame.union, [r.where("open = 0").select("id", "parent", "size", F.lit(k).alias("layer")) for k, r in enumerate(rest[:-1])]) if top else None
-    found = [cut(_finish(rest[-1].select("id", "parent", "size"), paths))]
+    finished = keep(cut(_finish(rest[-1].select("id", "parent", "size"), paths)))
     if peeled is None:
-        return found[0]
+        return finished.select(_columns(paths))
     # Each node with the layer of its parent, in a folder for each: a layer reads the children of
     # the one above only, and every node is read and written once.
-    peeled = cut(peeled)
+    peeled = keep(cut(peeled))
     layer_of = peeled.select(F.col("id").alias("parent"), F.col("layer").alias("above"))
     below = cut(peeled.where("parent is not null").join(layer_of, "parent", "left").withColumn("above", F.coalesce("above", F.lit(top))), "above")
     path = [F.array("id").alias("path"), "size"] if paths else []
     roots = peeled.where("parent is null").select("id", F.col("id").alias("root_id"), F.lit(0).alias("depth"), *path, "layer")
     done: list[DataFrame] = []
     for layer in range(top, 0, -1):
-        here = roots.where(F.col("layer") == layer).drop("layer") if layer < top else found[0]
+        here = roots.where(F.col("layer") == layer).drop("layer") if layer < top else finished
         here = reduce(DataFrame.union, [here, *[d.where(F.col("layer") == layer).drop("layer") for d in done]])
         parents = here.withColumnRenamed("id", "parent")
         if paths:
             parents = parents.drop("size")
-        done.append(cut(_below(below.where(F.col("above") == layer), parents, paths), "layer"))
-    return reduce(DataFrame.union, [found[0], roots.drop("layer"), *[d.drop("layer") for d in done]]).select(_columns(paths))
+        done.append(keep(cut(_below(below.where(F.col("above") == layer), parents, paths), "layer")))
+    return reduce(DataFrame.union, [finished, roots.drop("layer"), *[d.drop("layer") for d in done]]).select(_columns(paths))
 
 
 def _columns(paths: bool) -> list:
