@@ -38,7 +38,7 @@ def _walk(node: ast.AST, parent: str | None, in_class: bool, caller: int | None,
 
 
 def parsed(files: DataFrame) -> DataFrame:
-    """Symbols and call sites of ``file_path, text``; a file that Python can't parse has none.
+    """Symbols and call sites of ``file_path, text``; of a file that Python can't parse, one row of kind ``error`` with the reason.
 
     A call lies in the innermost function around it; calls outside of functions are left out.
     """
@@ -49,7 +49,8 @@ def parsed(files: DataFrame) -> DataFrame:
             for path, text in zip(b["file_path"], b["text"]):
                 try:
                     tree = ast.parse(text or "")
-                except (SyntaxError, ValueError, RecursionError, MemoryError):
+                except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+                    rows.append((path, f"{type(e).__name__}: {e}", "error", 0, 0, None, None, False, None, None))
                     continue
                 rows += [(path, *r) for r in _walk(tree, None, False, None, True)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _OUT.split(", ")]).astype({"caller_line": "Int32"})

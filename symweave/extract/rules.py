@@ -30,6 +30,8 @@ _CSS = [("section", r"^\s*(@(?:media|supports|keyframes)\b[^{]{0,80})"), ("secti
 _TAGS = [("section", r"^<([A-Za-z][\w:.-]*)")]
 
 RULES: dict[str, list[tuple[str, str]]] = {
+    # For files that Python's parser refuses.
+    "python": [("import", r"^\s*((?:import|from)\b.{0,73})"), ("class", r"^\s*class\s+(\w+)"), ("function", r"^(?:async\s+)?def\s+(\w+)"), ("method", r"^\s+(?:async\s+)?def\s+(\w+)"), ("variable", r"^([A-Za-z_]\w*)\s*(?::[^=]*)?=(?!=)")],
     "javascript": _JS,
     "typescript": _JS,
     "tsx": _JS,
@@ -94,3 +96,8 @@ KEYWORDS = (
     "loop unless until when where case do else"
 ).split()
 CALL = r"([A-Za-z_$][\w$]*)\s*(?:::<[^>]*>)?\("
+
+#: What isn't code, in the languages whose calls are collected by rules: comments and strings.
+NOT_CODE = r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"?|`(?:\\.|[^`\\])*`?"
+QUOTED = {language: r"|'(?:\\.|[^'\\\n])*'?" for language in ("javascript", "typescript", "tsx")}
+QUOTED_SIGN = r"|'(?:\\[^'\n]+|[^'\\\n])'"

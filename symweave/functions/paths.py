@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import os
 from collections.abc import Sequence
 from itertools import chain
 
@@ -28,8 +29,8 @@ def suffix(path: Column) -> Column:
 
 def language_of(path: Column) -> Column:
     """The language by whole name, else by suffix, case counting; null if neither is known."""
-    names = F.create_map([F.lit(x) for x in chain(*[(n, k) for k, v in FILE_NAMES.items() for n in v])])
-    suffixes = F.create_map([F.lit(x) for x in chain(*[(s, k) for k, v in SUFFIXES.items() for s in v])])
+    names = F.create_map([F.lit(x) for x in chain(*FILE_NAMES.items())])
+    suffixes = F.create_map([F.lit(x) for x in chain(*SUFFIXES.items())])
     return F.coalesce(F.try_element_at(names, basename(path)), F.try_element_at(suffixes, suffix(path)))
 
 
@@ -53,3 +54,8 @@ def matches_any(path: Column, globs: Sequence[str]) -> Column:
     if not globs:
         return F.lit(False)
     return path.rlike("|".join("^" + fnmatch.translate(g).replace(r"\Z", r"\z") for g in globs))
+
+
+def project_path(path: str | None = None) -> str:
+    """The root of a project as an absolute path: as given, else as SYMWEAVE_PROJECT names it, else the working folder."""
+    return os.path.abspath(os.path.expanduser(path or os.environ.get("SYMWEAVE_PROJECT") or "."))

@@ -22,9 +22,9 @@ def outline(symbols: DataFrame, file_path: str) -> DataFrame:
 
 
 def outline_sections(symbols: DataFrame, file_path: str) -> DataFrame:
-    """As :func:`outline`, imports and variables first."""
-    rank = F.when(F.col("kind").isin(HEADER_KINDS), 0).otherwise(1)
-    return symbols.where(F.col("file_path") == file_path).orderBy(rank, "start_line", "id").select(*OUTLINE)
+    """As :func:`outline`, imports and variables first, with the ``section`` (0 for these, else 1)."""
+    rank = F.when(F.col("kind").isin(HEADER_KINDS), 0).otherwise(1).alias("section")
+    return symbols.where(F.col("file_path") == file_path).select("id", *OUTLINE, rank).orderBy("section", "start_line", "id").select(*OUTLINE, "section")
 
 
 def outline_summary(symbols: DataFrame) -> DataFrame:
@@ -78,7 +78,8 @@ def keyword_search(
 
     found = symbols.where(like_ascii(F.col("name"), query) | like_ascii(F.col("file_path"), query))
     first = lambda rows: rows.orderBy("name", "file_path", "start_line", "id").limit(limit)
-    return (first(chosen(found)) if filter_first else chosen(first(found))).select(*SEARCH)
+    rows = first(chosen(found)) if filter_first else chosen(first(found))
+    return rows.select(*[c for c in SEARCH if c in symbols.columns])
 
 
 def export_rows(symbols: DataFrame) -> DataFrame:
@@ -90,7 +91,23 @@ def as_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def as_json_array(symbols: DataFrame) -> DataFrame:
+    """The lines of one JSON array of all :func:`export_rows`, in order: part after part they are one document."""
+    order = ["file_path", "start_line", "id"]
+    first = symbols.agg(F.min(F.struct(*order)).alias("first")).head()["first"]
+    spark = symbols.sparkSession
+    if first is None:
+        return spark.createDataFrame([("[]",)], "value string")
+    begins = F.col("id") == first["id"]  # ids are unique
+    object_ = F.to_json(F.struct(*EXPORT), {"ignoreNullFields": "false"})
+    lines = symbols.orderBy(*order).select(F.concat(F.when(begins, "[").otherwise(","), object_).alias("value"))
+    return lines.union(spark.createDataFrame([("]",)], "value string"))
+
+
 def export(symbols: DataFrame, path: str, kind: str = "json") -> None:
-    """Write :func:`export_rows` as JSON lines or as CSV with a header."""
+    """Write :func:`export_rows` as JSON lines, as one JSON array over the parts, or as CSV with a header."""
+    if kind == "array":
+        as_json_array(symbols).write.mode("errorifexists").text(path)
+        return
     writer = export_rows(symbols).write.mode("errorifexists")
     writer.csv(path, header=True) if kind == "csv" else writer.json(path, ignoreNullFields=False)

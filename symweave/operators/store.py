@@ -1,21 +1,23 @@
-"""The index as versioned Parquet snapshots, and keyed replacement of what changes.
+"""The index as Parquet tables in buckets of files, and keyed replacement of what changes.
 
-Nothing is overwritten in place: a change writes the next version of the tables that it touches
-and then replaces the manifest that names the current ones. A reader keeps the version it began
-with.
+A change writes new files for the buckets that it touches, then a list of the files that are
+current; the others stay as they are. The lists are numbered and never changed, so that a reader
+always sees a whole state and keeps the one it began with.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symweave.schemas import CALLS, FILES, SYMBOLS, VECTORS
+from symweave.schemas import CALLS, FILES, LENGTHS, POSTINGS, SYMBOLS, VECTORS
 
-SCHEMAS = {"files": FILES, "symbols": SYMBOLS, "calls": CALLS, "vectors": VECTORS}
+SCHEMAS = {"files": FILES, "symbols": SYMBOLS, "calls": CALLS, "vectors": VECTORS, "postings": POSTINGS, "lengths": LENGTHS}
+BUCKETS = 32  # of files, by the hash of the path
 
 
 def replaced(old: DataFrame, new: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
@@ -44,6 +46,10 @@ def touched(files: DataFrame, current: DataFrame) -> DataFrame:
     )
 
 
+def bucket_of() -> F.Column:
+    return F.pmod(F.xxhash64("file_path"), F.lit(BUCKETS)).cast("int")
+
+
 class Store:
     """The tables of an index below a folder of any file system that Spark can write to."""
 
@@ -53,51 +59,68 @@ class Store:
         self._path = lambda name: path(f"{self.folder}/{name}")
         self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def manifest(self) -> dict[str, str]:
-        """The current version of each table; empty before the first write."""
-        if not self._fs.exists(self._path("manifest")):
+    def _names(self, folder: str, start: str) -> list[str]:
+        if not self._fs.exists(self._path(folder)):
+            return []
+        return sorted(n for f in self._fs.listStatus(self._path(folder)) if (n := f.getPath().getName()).startswith(start))
+
+    def manifest(self, name: str | None = None) -> dict[str, dict[str, str]]:
+        """The version of each bucket of each table, by the latest list or the given one; empty before the first write."""
+        lists = self._names("lists", "list-")
+        if not lists:
             return {}
-        return json.loads(self.spark.read.text(f"{self.folder}/manifest").head()[0])
+        return json.loads(self.spark.read.text(f"{self.folder}/lists/{name or lists[-1]}").head()[0])
 
-    def table(self, name: str) -> DataFrame:
-        """The current rows of a table; an empty one if there are none yet. Columns added since are null."""
-        version = self.manifest().get(name)
-        if version is None:
+    def table(self, name: str, buckets: Sequence[int] | None = None) -> DataFrame:
+        """The current rows of a table, or of some of its buckets; no rows if there are none yet."""
+        found = self.manifest().get(name, {})
+        paths = [f"{self.folder}/{name}/{v}/bucket={b}" for b, v in sorted(found.items()) if buckets is None or int(b) in buckets]
+        if not paths:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}/{version}")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*paths)
 
-    def write(self, **tables: DataFrame) -> None:
-        """Write new versions of tables, then make all of them current at once."""
-        version = uuid.uuid4().hex
+    def write(self, buckets: Sequence[int] | None = None, **tables: DataFrame) -> None:
+        """Put the rows of tables in the place of all they have in these buckets, or of everything; all at once."""
+        version, lists = uuid.uuid4().hex, self._names("lists", "list-")
+        now = self.manifest()
         for name, rows in tables.items():
             columns = [c.strip().split()[0] for c in SCHEMAS[name].split(", ")]
-            rows.select(*columns).write.parquet(f"{self.folder}/{name}/{version}")
-        line = json.dumps(self.manifest() | dict.fromkeys(tables, version))
-        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.text(f"{self.folder}/manifest-{version}")
-        old = self._path("manifest")
-        if self._fs.exists(old):
-            self._fs.rename(old, self._path(f"manifest-before-{version}"))
-        self._fs.rename(self._path(f"manifest-{version}"), old)
-
-    def replace_files(self, files: DataFrame, symbols: DataFrame, calls: DataFrame) -> None:
-        """Replace everything of the given files: their rows, symbols, calls and vectors."""
-        gone = self.table("symbols").join(files.select("file_path").distinct(), "file_path").select(F.col("id").alias("symbol_id"))
+            rows = rows.select(*columns, bucket_of().alias("bucket")).repartition("bucket")
+            if name == "postings":
+                rows = rows.sortWithinPartitions("bucket", "term")  # row groups of other terms are skipped
+            rows.write.partitionBy("bucket").parquet(f"{self.folder}/{name}/{version}")
+            kept = {b: v for b, v in now.get(name, {}).items() if buckets is not None and int(b) not in buckets}
+            now[name] = kept | {f.split("=")[1]: version for f in self._names(f"{name}/{version}", "bucket=")}
+        number = int(lists[-1].split("-")[1]) + 1 if lists else 0
+        self.spark.createDataFrame([(json.dumps(now),)], "value string").coalesce(1).write.text(f"{self.folder}/list-{version}")
+        self._fs.mkdirs(self._path("lists"))
+        if not self._fs.rename(self._path(f"list-{version}"), self._path(f"lists/list-{number:012d}")):
+            raise RuntimeError("another writer has changed the index meanwhile")
+
+    def _buckets(self, files: DataFrame) -> list[int]:
+        return [r[0] for r in files.select(bucket_of().alias("b")).distinct().collect()]  # BUCKETS at most
+
+    def replace_files(self, files: DataFrame, **tables: DataFrame) -> None:
+        """Replace everything of the given files, in the tables given and in those that aren't."""
+        there = self._buckets(files)
+        new = {"files": files, **tables}
         self.write(
-            files=upserted(self.table("files"), files, "file_path"),
-            symbols=replaced(self.table("symbols"), symbols, files, "file_path"),
-            calls=replaced(self.table("calls"), calls, files, "file_path"),
-            vectors=self.table("vectors").join(gone, "symbol_id", "left_anti"),
+            there,
+            **{
+                name: replaced(self.table(name, there), new.get(name, self.spark.createDataFrame([], schema)), files, "file_path")
+                for name, schema in SCHEMAS.items()
+            },
         )
 
+    def touch_files(self, seen: DataFrame) -> None:
+        """Note size and time of files (``file_path, file_size, mtime_ns``) whose content is as it was."""
+        there = self._buckets(seen)
+        self.write(there, files=touched(self.table("files", there), seen))
+
     def delete_files(self, gone: DataFrame) -> None:
-        """Delete files with their symbols, calls and vectors."""
-        ids = self.table("symbols").join(gone.select("file_path").distinct(), "file_path").select(F.col("id").alias("symbol_id"))
-        self.write(
-            files=without_files(self.table("files"), gone),
-            symbols=without_files(self.table("symbols"), gone),
-            calls=without_files(self.table("calls"), gone),
-            vectors=self.table("vectors").join(ids, "symbol_id", "left_anti"),
-        )
+        """Delete files with their symbols, calls, vectors and postings."""
+        there = self._buckets(gone)
+        self.write(there, **{name: without_files(self.table(name, there), gone) for name in SCHEMAS})
 
     def prune(self, current: DataFrame) -> int:
         """Delete the files that aren't among the current ones; returns how many."""
@@ -106,3 +129,13 @@ class Store:
         if n:
             self.delete_files(gone)
         return n
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Remove the versions that none of the last ``keep`` states names; readers of older ones must have ended. Returns how many."""
+        lists = self._names("lists", "list-")
+        used = {(t, v) for n in lists[-keep:] for t, found in self.manifest(n).items() for v in found.values()}
+        old = [f"lists/{n}" for n in lists[:-keep]]
+        old += [f"{t}/{v}" for t in SCHEMAS for v in self._names(t, "") if (t, v) not in used]
+        for name in old:
+            self._fs.delete(self._path(name), True)
+        return len(old)

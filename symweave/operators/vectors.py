@@ -52,7 +52,7 @@ def missing(symbols: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def backfilled(symbols: DataFrame, vectors: DataFrame, encoder: Encoder) -> DataFrame:
-    """The vectors with those of the symbols that had none."""
+    """``symbol_id, embedding`` of all vectors there are and of the symbols that had none."""
     return vectors.select("symbol_id", "embedding").union(encoded(missing(symbols, vectors), encoder))
 
 
@@ -65,6 +65,7 @@ def nearest(vectors: DataFrame, query: Sequence[float], limit: int = 10) -> Data
     q = F.array(*[F.lit(float(x)) for x in query])
     squares = F.zip_with(F.col("embedding"), q, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b))
     distance = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))
-    near = vectors.where(F.size("embedding") == len(query)).select("symbol_id", F.round(distance, 6).alias("distance"))
+    near = vectors.where(F.size("embedding") == len(query)).select("symbol_id", distance.alias("distance"))
     near = near.where("distance is not null and not isnan(distance)")
-    return near.groupBy("symbol_id").agg(F.min("distance").alias("distance")).orderBy("distance", "symbol_id").limit(limit)
+    best = near.groupBy("symbol_id").agg(F.min("distance").alias("distance")).orderBy("distance", "symbol_id").limit(limit)
+    return best.select("symbol_id", F.round("distance", 6).alias("distance"))

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symweave.extract.symbols import symbols_and_calls
+from symweave.functions.paths import project_path
 from symweave.operators import freshness, fulltext, fusion, graph, lookup, vectors
-from symweave.operators.store import Store, touched
-from symweave.session import cut
+from symweave.operators.store import Store
+from symweave.session import cut, scratch
 from symweave.sources.catalogs import sqlite_symbols
-from symweave.sources.files import blake2b_udf, decoded, indexable, line_range, scan
+from symweave.sources.files import Rule, blake2b_udf, contents, decoded, ignore_rules, indexable, line_range, scan, small_text
 
 SEARCHED = ["name", "kind", "file_path", "signature", "docstring"]
 
@@ -21,21 +22,26 @@ class Index:
     """An index of the tree at ``root``, kept in ``folder``."""
 
     def __init__(self, spark: SparkSession, root: str, folder: str, encoder: vectors.Encoder | None = None) -> None:
-        self.spark, self.root, self.encoder = spark, root.rstrip("/"), encoder
+        self.spark, self.root, self.encoder = spark, project_path(root), encoder
         self.store = Store(spark, folder)
 
     # Building
 
-    def _listing(self, ignored: str | None = None, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> DataFrame:
+    def ignored(self, names: Sequence[str] = (".gitignore",)) -> list[Rule]:
+        """The rules of the ignore files at the root that are there."""
+        return [rule for name in names for rule in ignore_rules((small_text(self.spark, f"{self.root}/{name}") or "").splitlines())]
+
+    def _listing(self, ignored: Sequence[Rule] | None = None, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> DataFrame:
         files = scan(self.spark, self.root).drop("content")
-        kept = indexable(files, self.root, ignored=ignored, include=include, exclude=exclude)
+        kept = indexable(files, self.root, ignored=self.ignored() if ignored is None else ignored, include=include, exclude=exclude)
         return kept.select("file_path", "language", "file_size", (F.unix_micros("mtime") * 1000).alias("mtime_ns"), F.lit(None).cast("string").alias("checksum"))
 
-    def _index(self, paths: DataFrame) -> None:
-        content = scan(self.spark, self.root).select("file_path", "content").join(paths, "file_path")
+    def _index(self, paths: DataFrame) -> list[dict[str, str]]:
+        """Index files and return those that couldn't be parsed; only these files are read, and only their buckets written."""
+        content = contents(self.spark, self.root, paths).join(paths, "file_path")
         catalogs = content.where("language = 'sqlite'")
         texts = cut(decoded(content.where("language <> 'sqlite'").select("file_path", "language", "file_size", "mtime_ns", "content")))
-        symbols, calls = symbols_and_calls(texts)
+        symbols, calls, errors = symbols_and_calls(texts)
         tables = sqlite_symbols(catalogs).select(
             F.xxhash64("file_path", "start_line", "name").alias("id"), "name", "kind", "file_path", "start_line", "end_line", "signature",
             F.lit(None).cast("string").alias("docstring"), F.lit(None).cast("string").alias("parent_name"), F.lit(None).cast("bigint").alias("parent_id"),
@@ -49,58 +55,87 @@ class Index:
             "file_path", F.coalesce("checksum", F.lit("")).alias("checksum"), F.lit(None).cast("string").alias("git_head"),
             F.coalesce("symbol_count", F.lit(0)).alias("symbol_count"), "language", "file_size", "mtime_ns", F.current_timestamp().alias("indexed_at"),
         )
-        self.store.replace_files(cut(rows), symbols, calls)
+        tokens = fulltext.tokenized(symbols.withColumn("path", F.col("file_path")), "id", [c if c != "file_path" else "path" for c in SEARCHED], "file_path")
+        tokens = cut(tokens.replace("path", "file_path", "field"))
+        more = {"postings": fulltext.postings(tokens, "file_path"), "lengths": fulltext.row_lengths(tokens, "file_path")}
         if self.encoder:
-            self.refresh_vectors()
-
-    def build(self, *, force: bool = False, ignored: str | None = None, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> DataFrame:
+            more["vectors"] = vectors.encoded(symbols, self.encoder).join(symbols.select(F.col("id").alias("symbol_id"), "file_path"), "symbol_id")
+        self.store.replace_files(cut(rows), symbols=symbols, calls=calls, **more)
+        return [r.asDict() for r in errors.orderBy("file_path").collect()]  # one row for each file that has changed and is broken
+
+    def _done(self, status: DataFrame, errors: list[dict[str, str]], **options) -> DataFrame:
+        """The counts of a run with the number of errors and the first ten."""
+        details = F.array(*[F.struct(F.lit(e["file_path"]).alias("file"), F.lit(e["error"]).alias("error")) for e in errors[:10]])
+        return freshness.run_counts(status, **options).select(
+            "*", F.lit(len(errors)).alias("errors"), details.cast("array<struct<file string, error string>>").alias("error_details")
+        )
+
+    def build(self, *, force: bool = False, ignored: Sequence[Rule] | None = None, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> DataFrame:
         """Index new and changed files and drop those that are gone; returns the counts.
 
-        A file whose size and time are as stored is skipped unless forced; large files are.
+        A file whose size and time are as stored is skipped unless forced; large files are. The
+        ignore file at the root counts unless rules are given.
         """
-        listing = cut(self._listing(ignored, include, exclude))
-        status = cut(freshness.compared(self.store.table("files"), listing, by_checksum=False))
-        wanted = status.where("status in ('new', 'stale')" if not force else "status <> 'gone'").where(F.col("file_size") < freshness.LARGE_FILE)
-        paths = cut(listing.join(wanted.select("file_path"), "file_path"))
-        self.store.prune(scan(self.spark, self.root).select("file_path"))
-        if not paths.isEmpty():
-            self._index(paths)
-        return freshness.run_counts(status)
-
-    def update(self, *, ignored: str | None = None) -> DataFrame:
+        with scratch() as keep:
+            listing = cut(self._listing(ignored, include, exclude))
+            status = keep(cut(freshness.compared(self.store.table("files"), listing, by_checksum=False)))
+            wanted = status.where("status in ('new', 'stale')" if not force else "status <> 'gone'").where(F.col("file_size") < freshness.LARGE_FILE)
+            paths = cut(listing.join(wanted.select("file_path"), "file_path"))
+            self.store.prune(scan(self.spark, self.root).select("file_path"))
+            errors = [] if paths.isEmpty() else self._index(paths)
+            self.store.vacuum()
+            return self._done(status, errors)
+
+    def update(self, *, ignored: Sequence[Rule] | None = None) -> DataFrame:
         """As :meth:`build`, with large files.
 
         A file of another size or time whose content is as stored is only noted as seen. Contents
         are read only of files whose size or time has changed.
         """
-        listing = cut(self._listing(ignored))
-        stored = self.store.table("files")
-        differing = freshness.compared(stored, listing, by_checksum=False).where("status in ('new', 'stale')").select("file_path")
-        content = scan(self.spark, self.root).select("file_path", "content").join(cut(differing), "file_path")
-        sums = content.select("file_path", blake2b_udf("content").alias("sum"))
-        hashed = cut(listing.join(sums, "file_path", "left").withColumn("checksum", F.col("sum")).drop("sum"))
-        status = cut(freshness.compared(stored, hashed))
-        seen = hashed.join(status.where("status = 'touched'").select("file_path"), "file_path")
-        self.store.write(files=cut(touched(stored, seen)))
-        self.prune()
-        paths = cut(hashed.join(status.where("status in ('new', 'stale')").select("file_path"), "file_path"))
-        if not paths.isEmpty():
-            self._index(paths)
-        return freshness.run_counts(status, large=2**62)
+        with scratch() as keep:
+            listing = cut(self._listing(ignored))
+            stored = self.store.table("files")
+            differing = freshness.compared(stored, listing, by_checksum=False).where("status in ('new', 'stale')").select("file_path")
+            sums = contents(self.spark, self.root, cut(differing)).select("file_path", blake2b_udf("content").alias("sum"))
+            hashed = cut(listing.join(sums, "file_path", "left").withColumn("checksum", F.col("sum")).drop("sum"))
+            status = keep(cut(freshness.compared(stored, hashed)))
+            seen = cut(hashed.join(status.where("status = 'touched'").select("file_path"), "file_path"))
+            if not seen.isEmpty():
+                self.store.touch_files(seen)
+            self.prune()
+            paths = cut(hashed.join(status.where("status in ('new', 'stale')").select("file_path"), "file_path"))
+            errors = [] if paths.isEmpty() else self._index(paths)
+            self.store.vacuum()
+            return self._done(status, errors, large=2**62)
 
     def refresh(self, paths: DataFrame) -> None:
         """Index the given files (``file_path``) again, as they are now."""
-        listing = self._listing().join(paths.select("file_path").distinct(), "file_path")
-        self._index(cut(listing))
+        with scratch():
+            self._index(cut(self._listing().join(paths.select("file_path").distinct(), "file_path")))
+
+    def freshen(self, file_path: str) -> bool:
+        """Index a file again if its size or time isn't as stored, before it is read; whether it was."""
+        with scratch():
+            here = cut(self._listing().where(F.col("file_path") == file_path))
+            stored = self.store.table("files").where(F.col("file_path") == file_path)
+            status = [r.status for r in freshness.compared(stored, here, by_checksum=False).collect()]  # one file
+            if status in (["new"], ["stale"]):
+                self._index(here)
+            elif status == ["gone"]:
+                self.store.delete_files(stored.select("file_path"))
+            return status not in ([], ["current"])
 
     def prune(self) -> int:
         """Drop the files that are gone; returns how many."""
         return self.store.prune(scan(self.spark, self.root).select("file_path"))
 
-    def refresh_vectors(self) -> None:
-        """Give every symbol without a vector one."""
+    def refresh_vectors(self, *, full: bool = False) -> None:
+        """Give every symbol without a vector one; with ``full``, as after a change of the encoder, every symbol."""
         if self.encoder:
-            self.store.write(vectors=vectors.backfilled(self.store.table("symbols"), self.store.table("vectors"), self.encoder))
+            with scratch():
+                symbols = self.store.table("symbols")
+                found = vectors.encoded(symbols, self.encoder) if full else vectors.backfilled(symbols, self.store.table("vectors"), self.encoder)
+                self.store.write(vectors=cut(found.join(symbols.select(F.col("id").alias("symbol_id"), "file_path"), "symbol_id")))
 
     # Queries
 
@@ -130,9 +165,10 @@ class Index:
     def find_by_keyword(self, query: str, **options) -> DataFrame:
         return lookup.keyword_search(self.store.table("symbols"), query, **options)
 
-    def full_text(self, query: str, limit: int = 10) -> DataFrame:
-        tokens = fulltext.tokenized(self.store.table("symbols"), "id", SEARCHED)
-        return fulltext.match(tokens, query, limit=limit)
+    def full_text(self, query: str, limit: int = 10, **options) -> DataFrame:
+        """The best symbols by BM25 from the stored postings; options of :func:`fulltext.match_postings`. A query without words finds nothing."""
+        best = fulltext.match_postings(self.store.table("postings"), self.store.table("lengths"), fulltext.query_phrases(query), limit=limit, **options)
+        return best.join(self.store.table("symbols"), "id").orderBy(F.desc("score"), "id").select(*lookup.SEARCH, "score")
 
     def resolve_edit_target(self, description: str, limit: int = 5) -> DataFrame:
         """The symbols that fit a description best, by words and, with an encoder, by vectors."""

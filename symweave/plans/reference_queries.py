@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symweave.extract.symbols import by_rules
+from symweave.extract.symbols import extracted
 from symweave.functions.paths import in_skipped_folder, is_secret, language_of, matches_any, suffix
 from symweave.functions.text import embedding_text, first_line
 from symweave.operators import freshness, fulltext, fusion, graph, lookup, stats, store, vectors
@@ -18,9 +18,10 @@ from symweave.streaming.watch import bursts
 KEYWORD = "oRder%t"
 
 
-def _symbols(s: SparkSession, d: str) -> DataFrame:
-    """The current row of each symbol."""
-    return current_rows(table(s, d, "symbols"))
+def _symbols(s: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The current row of each symbol, with the given columns, or all."""
+    rows = table(s, d, "symbols")
+    return current_rows(rows.select("id", *columns, "indexed_at") if columns else rows)
 
 
 def _files(s: SparkSession, d: str) -> DataFrame:
@@ -60,8 +61,7 @@ def file_checksum(s, d):
 
 
 def lines_exploded(s, d):
-    rows = lines(table(s, d, "documents"), "doc_id").select("doc_id", "line_no", F.sha2("line", 256).alias("line"))
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.max(F.struct("line_no", "line")).line.alias("last_line"))
+    return lines(table(s, d, "documents"), "doc_id").select("doc_id", "line_no", F.sha2("line", 256).alias("line"))
 
 
 def line_range_read(s, d):
@@ -70,19 +70,24 @@ def line_range_read(s, d):
 
 def _some_file(s, d):
     """The file with the most symbols, the first by path among equals."""
-    return _symbols(s, d).groupBy("file_path").count().orderBy(F.desc("count"), "file_path").limit(1).select("file_path")
+    return _symbols(s, d, "file_path").groupBy("file_path").count().orderBy(F.desc("count"), "file_path").limit(1).select("file_path")
 
 
 def file_outline(s, d):
-    return _symbols(s, d).join(F.broadcast(_some_file(s, d)), "file_path").select("id", *lookup.OUTLINE)  # one row
+    return _symbols(s, d, "file_path", *lookup.OUTLINE).join(F.broadcast(_some_file(s, d)), "file_path").select("id", *lookup.OUTLINE)  # one row
+
+
+def outline_sections(s, d):
+    path = _some_file(s, d).head()["file_path"]
+    return lookup.outline_sections(_symbols(s, d, "file_path", *lookup.OUTLINE), path)
 
 
 def outline_summary(s, d):
-    return lookup.outline_summary(_symbols(s, d))
+    return lookup.outline_summary(_symbols(s, d, "name", "kind", "file_path", "start_line", "end_line", "signature"))
 
 
 def file_header(s, d):
-    return lookup.file_header(_symbols(s, d))
+    return lookup.file_header(_symbols(s, d, "kind", "file_path", "start_line", "end_line"))
 
 
 def symbol_by_name(s, d):
@@ -90,21 +95,20 @@ def symbol_by_name(s, d):
 
 
 def symbol_body(s, d):
-    rows = _symbols(s, d).where("start_line <= 3")
     heads = table(s, d, "file_heads").select("file_path", F.col("head").alias("text")).where("text is not null")
-    return lookup.bodies(rows, heads).groupBy("file_path", "start_line", "name").agg(F.max("body").alias("body"), F.count("*").alias("n"))
+    return lookup.bodies(_symbols(s, d), heads).select("file_path", "start_line", "name", "body")
 
 
 def keyword_search(s, d):
-    return lookup.keyword_search(_symbols(s, d), KEYWORD).select("id", "name", "file_path")
+    return lookup.keyword_search(_symbols(s, d, "name", "file_path", "start_line"), KEYWORD).select("id", "name", "file_path")
 
 
 def keyword_post_limit_filter(s, d):
-    return lookup.keyword_search(_symbols(s, d), "a", limit=200, kind="function").select("id", "name", "file_path")
+    return lookup.keyword_search(_symbols(s, d, "name", "kind", "file_path", "start_line"), "a", limit=200, kind="function").select("id", "name", "file_path")
 
 
 def status_counts(s, d):
-    return stats.status(files=_files(s, d), symbols=_symbols(s, d), vectors=table(s, d, "vec_symbols"))
+    return stats.status(files=_files(s, d), symbols=table(s, d, "symbols").select("id").distinct(), vectors=table(s, d, "vec_symbols"))
 
 
 def language_top8(s, d):
@@ -116,30 +120,30 @@ def dir_rollup(s, d):
 
 
 def symbol_count_per_file(s, d):
-    return stats.symbols_per_file(_files(s, d), _symbols(s, d))
+    return stats.symbols_per_file(_files(s, d), _symbols(s, d, "file_path"))
 
 
 def callers(s, d):
-    return graph.callers(_calls(s, d), _symbols(s, d), "format")
+    return graph.callers(_calls(s, d), _symbols(s, d, *lookup.SYMBOL[:6]), "format")
 
 
 def callees(s, d):
-    return graph.callees(_calls(s, d), _symbols(s, d), "init")
+    return graph.callees(_calls(s, d), _symbols(s, d, "name", "file_path"), "init")
 
 
 def call_degrees(s, d):
     """Calls made and received of every symbol name."""
-    made = _calls(s, d).join(_symbols(s, d).select(F.col("id").alias("caller_id"), "name"), "caller_id").groupBy("name").agg(F.count("*").alias("made"))
+    made = _calls(s, d).join(_symbols(s, d, "name").select(F.col("id").alias("caller_id"), "name"), "caller_id").groupBy("name").agg(F.count("*").alias("made"))
     got = _calls(s, d).groupBy(F.col("callee_name").alias("name")).agg(F.count("*").alias("received"))
     return made.join(got, "name", "full").select("name", F.coalesce("made", F.lit(0)).alias("made"), F.coalesce("received", F.lit(0)).alias("received"))
 
 
 def homonym_callers(s, d):
-    return graph.first_homonym(_calls(s, d), _symbols(s, d)).groupBy("caller_id").agg(F.count("*").alias("calls"))
+    return graph.first_homonym(_calls(s, d), _symbols(s, d, "name", "file_path", "start_line"))
 
 
 def missing_vectors(s, d):
-    wanted = _symbols(s, d).where("kind in ('function', 'method', 'class')")
+    wanted = _symbols(s, d, "name", "kind").where("kind in ('function', 'method', 'class')")
     return vectors.missing(wanted, table(s, d, "vec_symbols")).select("id", "name")
 
 
@@ -149,23 +153,23 @@ def semi_delete_survivors(s, d):
 
 
 def deleted_file_survivors(s, d):
-    return store.without_files(_symbols(s, d), table(s, d, "removed_symbols").where("file_path is not null")).select("id", "file_path")
+    return store.without_files(_symbols(s, d, "file_path"), table(s, d, "removed_symbols").where("file_path is not null")).select("id", "file_path")
 
 
 def stale_files(s, d):
-    """Indexed files without a head, that is, no longer there."""
+    """Indexed files without a symbol of theirs: what a pruning by the files that have any would drop."""
     return _files(s, d).join(table(s, d, "symbols").select("file_path").distinct(), "file_path", "left_anti").select("file_path")
 
 
 def enclosing_symbol(s, d):
-    functions = _symbols(s, d).where("kind in ('function', 'method')")
-    files = _symbols(s, d).select(F.col("id").alias("caller_id"), "file_path")
+    functions = _symbols(s, d, "kind", "file_path", "start_line", "end_line").where("kind in ('function', 'method')")
+    files = _symbols(s, d, "file_path").select(F.col("id").alias("caller_id"), "file_path")
     sites = _calls(s, d).join(files, "caller_id").select("id", "file_path", F.col("call_line").alias("line"))
     return graph.enclosing(sites, functions).select("id", "caller_id")
 
 
 def symbol_ordinals(s, d):
-    return stats.ordinals(_symbols(s, d).select("id", "file_path", "start_line"), "file_path", "start_line", "id").select("id", "ordinal")
+    return stats.ordinals(_symbols(s, d, "file_path", "start_line").select("id", "file_path", "start_line"), "file_path", "start_line", "id").select("id", "ordinal")
 
 
 def _two_states(s, d):
@@ -206,9 +210,9 @@ def touch_metadata(s, d):
 
 def replace_symbols(s, d):
     """The older rows of symbols replaced, file by file, by the current ones of the files that have any."""
-    old = table(s, d, "symbols").select("id", "file_path", "name", "indexed_at")
-    new = _symbols(s, d).where("kind <> 'import'").select("id", "file_path", "name", "indexed_at")
-    return store.replaced(old, new, new, "file_path").groupBy("file_path").agg(F.count("*").alias("symbols"))
+    old = table(s, d, "symbols").select("id", "file_path", "name")
+    new = _symbols(s, d, "kind", "file_path", "name").where("kind <> 'import'").select("id", "file_path", "name")
+    return store.replaced(old, new, new, "file_path")
 
 
 def _documents_tokens(s, d, stem=False):
@@ -223,7 +227,7 @@ def bm25_postings(s, d):
     """As the plain search, from a written table of postings."""
     tokens = _documents_tokens(s, d)
     posted, lengths = cut(fulltext.postings(tokens).sortWithinPartitions("term")), cut(fulltext.row_lengths(tokens))
-    return fulltext.match_postings(posted, lengths, fulltext.query_terms("broken writers", stem=False))
+    return fulltext.match_postings(posted, lengths, fulltext.query_phrases("broken writers", stem=False))
 
 
 def bm25_stemmed(s, d):
@@ -262,12 +266,12 @@ def rrf_fusion(s, d):
 
 
 def embed_text(s, d):
-    return _symbols(s, d).select("id", embedding_text().alias("text"))
+    return _symbols(s, d, "name", "signature", "docstring").select("id", embedding_text().alias("text"))
 
 
 def encoded_symbols(s, d):
     """Vectors of all symbols by the stand-in encoder; the tests check it."""
-    return vectors.encoded(_symbols(s, d), vectors.hashed_encoder(64))
+    return vectors.encoded(_symbols(s, d, "name", "signature", "docstring"), vectors.hashed_encoder(64))
 
 
 def export_rows(s, d):
@@ -275,11 +279,11 @@ def export_rows(s, d):
 
 
 def json_rows(s, d):
-    return lookup.as_json(_symbols(s, d).select("id", "name", "start_line", "parent_name"))
+    return lookup.as_json(_symbols(s, d, "name", "start_line", "parent_name").select("id", "name", "start_line", "parent_name"))
 
 
 def import_names(s, d):
-    return _symbols(s, d).where("kind = 'import'").select("id", first_line(F.col("signature"), 20).alias("name"))
+    return _symbols(s, d, "kind", "signature").where("kind = 'import'").select("id", first_line(F.col("signature"), 20).alias("name"))
 
 
 def debounce_sessions(s, d):
@@ -289,15 +293,15 @@ def debounce_sessions(s, d):
 
 
 def extracted_symbols(s, d):
-    """Declarations in the files' heads by the line rules; the tests have golden files."""
+    """Declarations in all heads, Python by its parser, the rest by the line rules; the tests have golden files."""
     heads = table(s, d, "file_heads").withColumn("language", language_of(F.regexp_replace("file_path", r"\\", "/")))
-    return by_rules(heads.select("file_path", "language", F.col("head").alias("text")).where("text <> '' and language <> 'python'"))
+    return extracted(heads.select("file_path", "language", F.col("head").alias("text")).where("language is not null"))[0]
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_filtered_files, language_detect, file_checksum, lines_exploded, line_range_read, file_outline, outline_summary, file_header,
+        scan_filtered_files, language_detect, file_checksum, lines_exploded, line_range_read, file_outline, outline_sections, outline_summary, file_header,
         symbol_by_name, symbol_body, keyword_search, keyword_post_limit_filter, status_counts, language_top8, dir_rollup, symbol_count_per_file,
         callers, callees, call_degrees, homonym_callers, missing_vectors, semi_delete_survivors, deleted_file_survivors, stale_files,
         enclosing_symbol, symbol_ordinals, freshness_status, build_freshness, build_stats, upsert_files, touch_metadata, replace_symbols,
@@ -353,7 +357,7 @@ near as (select vec_id as symbol_id, round(sqrt(list_sum([power(cast(embedding[i
   from embeddings, q where len(embedding) = len(q.v)),
 top as (select symbol_id, distance from near order by distance, symbol_id limit 10)"""
 
-_LANGUAGES = " ".join(f"when suffix in ({', '.join(repr(x) for x in v)}) then '{k}'" for k, v in SUFFIXES.items())
+_LANGUAGES = " ".join(f"when suffix = '{suffix_}' then '{language}'" for suffix_, language in SUFFIXES.items())
 _LIKE = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') like '%{1}%'"
 _SHOWN = "start_line || '-' || end_line || ' [' || kind || '] ' || case when signature <> '' then signature else name end"
 
@@ -365,15 +369,17 @@ and regexp_extract(p, '[^/]*$') not in ('.env', '.env.local', '.env.production',
 select file_path, suffix, case {_LANGUAGES} end as language from r""",
     "file_checksum": "select doc_id, sha256(text) as checksum from documents where text is not null",
     "lines_exploded": r"""with l as (select doc_id, regexp_split_to_array(text, '\r?\n') as a from documents where text is not null)
-select doc_id, len(a) as n_lines, sha256(a[len(a)]) as last_line from l""",
+select doc_id, cast(k as int) as line_no, sha256(a[k]) as line from (select doc_id, a, unnest(range(1, len(a) + 1)) as k from l)""",
     "line_range_read": """select file_path, array_to_string(list_slice(string_split(head, chr(10)), 2, 3), chr(10)) as text from file_heads where head is not null""",
     "file_outline": f"""with {_S} select id, name, kind, start_line, end_line, signature, parent_name from s
+where file_path = (select file_path from s group by 1 order by count(*) desc, file_path limit 1)""",
+    "outline_sections": f"""with {_S} select name, kind, start_line, end_line, signature, parent_name, case when kind in ('import', 'variable') then 0 else 1 end as section from s
 where file_path = (select file_path from s group by 1 order by count(*) desc, file_path limit 1)""",
     "outline_summary": f"""with {_S} select file_path, string_agg({_SHOWN}, chr(10) order by start_line, id) as summary from s group by 1""",
     "file_header": f"""with {_S} select file_path, coalesce(max(case when kind in ('import', 'variable') and start_line < 50 then end_line end), 20) as header_end from s group by 1""",
     "symbol_by_name": f"""with {_S} select name, kind, file_path, start_line, end_line, signature, docstring, parent_name, language from s where name = 'init' order by file_path, start_line, id limit 1""",
-    "symbol_body": f"""with {_S} select s.file_path, s.start_line, s.name, max(array_to_string(list_slice(string_split(h.head, chr(10)), greatest(start_line, 1), end_line), chr(10))) as body, count(*) as n
-from s join file_heads h on h.file_path = s.file_path where s.start_line <= 3 and h.head is not null group by 1, 2, 3""",
+    "symbol_body": f"""with {_S} select s.file_path, s.start_line, s.name, array_to_string(list_slice(string_split(h.head, chr(10)), greatest(start_line, 1), end_line), chr(10)) as body
+from s join file_heads h on h.file_path = s.file_path where h.head is not null""",
     "keyword_search": f"""with {_S} select id, name, file_path from s where {_LIKE.format("name", "order%t")} or {_LIKE.format("file_path", "order%t")}
 order by name, file_path, start_line, id limit 20""",
     "keyword_post_limit_filter": f"""with {_S} select id, name, file_path from (select * from s where {_LIKE.format("name", "a")} or {_LIKE.format("file_path", "a")}
@@ -390,7 +396,7 @@ select p.file_path, coalesce(n.n, 0) as symbols from (select distinct file_path
     "call_degrees": f"""with {_S}, {_C}, m as (select s.name, count(*) as made from c join s on s.id = c.caller_id group by 1), g as (select callee_name as name, count(*) as received from c group by 1)
 select coalesce(m.name, g.name) as name, coalesce(made, 0) as made, coalesce(received, 0) as received from m full join g on m.name = g.name""",
     "homonym_callers": f"""with {_S}, {_C}, h as (select *, first_value(id) over (partition by name, file_path order by start_line, id) as first_id from s)
-select h.first_id as caller_id, count(*) as calls from c join h on h.id = c.caller_id group by 1""",
+select h.file_path, h.first_id as caller_id, c.callee_name, c.call_line from c join h on h.id = c.caller_id""",
     "missing_vectors": f"""with {_S} select id, name from s where kind in ('function', 'method', 'class') and not exists (select 1 from vec_symbols v where v.symbol_id = s.id)""",
     "semi_delete_survivors": f"""with {_C} select id, caller_id, callee_name from c where caller_id not in (select symbol_id from removed_symbols where symbol_id is not null)""",
     "deleted_file_survivors": f"""with {_S} select id, file_path from s where file_path not in (select file_path from removed_symbols where file_path is not null)""",
@@ -412,8 +418,8 @@ select file_path, file_size, mtime_ns, checksum from stored where file_path not
     "touch_metadata": _STATES
     + """select o.file_path, o.checksum, case when l.file_path is null then o.file_size else l.file_size end as file_size,
 case when l.file_path is null then o.mtime_ns else l.mtime_ns end as mtime_ns from stored o left join later l on l.file_path = o.file_path""",
-    "replace_symbols": f"""with {_S}, n as (select file_path from s where kind <> 'import')
-select file_path, count(*) as symbols from (select file_path from n union all select file_path from symbols where file_path not in (select file_path from n)) group by 1""",
+    "replace_symbols": f"""with {_S}, n as (select id, file_path, name from s where kind <> 'import')
+select id, file_path, name from n union all select id, file_path, name from symbols where file_path not in (select file_path from n)""",
     "bm25_topk": _bm25(_count("w = 'broken'") + " as f0, " + _count("w = 'writers'") + " as f1", "f0 > 0 and f1 > 0"),
     "fts_or": _bm25(_count("w = 'merged'") + " as f0, " + _count("w = 'sorted'") + " as f1", "f0 > 0 or f1 > 0"),
     "fts_phrase": _bm25(

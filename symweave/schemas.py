@@ -4,58 +4,83 @@ from __future__ import annotations
 
 # The language of each file suffix (case counts) and of some whole file names.
 SUFFIXES = {
-    "python": [".py"],
-    "javascript": [".js", ".jsx"],
-    "typescript": [".ts"],
-    "tsx": [".tsx"],
-    "go": [".go"],
-    "rust": [".rs"],
-    "java": [".java"],
-    "c": [".c"],
-    "cpp": [".cpp", ".cc"],
-    "c_sharp": [".cs"],
-    "ruby": [".rb"],
-    "php": [".php"],
-    "swift": [".swift"],
-    "kotlin": [".kt"],
-    "json": [".json"],
-    "yaml": [".yaml", ".yml"],
-    "toml": [".toml"],
-    "ini": [".ini", ".cfg"],
-    "markdown": [".md"],
-    "sqlite": [".db"],
-    "html": [".html", ".htm"],
-    "css": [".css"],
-    "scss": [".scss", ".sass"],
-    "less": [".less"],
-    "vue": [".vue"],
-    "svelte": [".svelte"],
-    "lua": [".lua"],
-    "zig": [".zig"],
-    "dart": [".dart"],
-    "bash": [".sh", ".bash", ".zsh"],
-    "fish": [".fish"],
-    "powershell": [".ps1"],
-    "batch": [".bat", ".cmd"],
-    "scala": [".scala"],
-    "groovy": [".groovy"],
-    "clojure": [".clj", ".cljs", ".cljc"],
-    "elixir": [".ex", ".exs"],
-    "erlang": [".erl", ".hrl"],
-    "haskell": [".hs"],
-    "ocaml": [".ml", ".mli"],
-    "perl": [".pl", ".pm"],
-    "r": [".r", ".R"],
-    "nix": [".nix"],
-    "xml": [".xml", ".plist"],
-    "graphql": [".graphql", ".gql"],
-    "proto": [".proto"],
-    "hcl": [".tf", ".hcl"],
-    "sql": [".sql"],
-    "dockerfile": [".dockerfile"],
-    "make": [".mk", ".make"],
+    ".py": "python",
+    ".js": "javascript",
+    ".jsx": "javascript",
+    ".ts": "typescript",
+    ".tsx": "tsx",
+    ".go": "go",
+    ".rs": "rust",
+    ".java": "java",
+    ".c": "c",
+    ".cpp": "cpp",
+    ".cc": "cpp",
+    ".cs": "c_sharp",
+    ".rb": "ruby",
+    ".php": "php",
+    ".swift": "swift",
+    ".kt": "kotlin",
+    ".json": "json",
+    ".yaml": "yaml",
+    ".yml": "yaml",
+    ".toml": "toml",
+    ".ini": "ini",
+    ".cfg": "ini",
+    ".md": "markdown",
+    ".db": "sqlite",
+    ".html": "html",
+    ".htm": "html",
+    ".css": "css",
+    ".scss": "scss",
+    ".sass": "scss",
+    ".less": "less",
+    ".vue": "vue",
+    ".svelte": "svelte",
+    ".lua": "lua",
+    ".zig": "zig",
+    ".dart": "dart",
+    ".sh": "bash",
+    ".bash": "bash",
+    ".zsh": "bash",
+    ".fish": "fish",
+    ".ps1": "powershell",
+    ".bat": "batch",
+    ".cmd": "batch",
+    ".scala": "scala",
+    ".groovy": "groovy",
+    ".clj": "clojure",
+    ".cljs": "clojure",
+    ".cljc": "clojure",
+    ".ex": "elixir",
+    ".exs": "elixir",
+    ".erl": "erlang",
+    ".hrl": "erlang",
+    ".hs": "haskell",
+    ".ml": "ocaml",
+    ".mli": "ocaml",
+    ".pl": "perl",
+    ".pm": "perl",
+    ".r": "r",
+    ".R": "r",
+    ".nix": "nix",
+    ".xml": "xml",
+    ".plist": "xml",
+    ".graphql": "graphql",
+    ".gql": "graphql",
+    ".proto": "proto",
+    ".tf": "hcl",
+    ".hcl": "hcl",
+    ".sql": "sql",
+    ".dockerfile": "dockerfile",
+    ".mk": "make",
+    ".make": "make",
+}
+FILE_NAMES = {
+    "Dockerfile": "dockerfile",
+    "Makefile": "make",
+    "makefile": "make",
+    "GNUmakefile": "make",
 }
-FILE_NAMES = {"dockerfile": ["Dockerfile"], "make": ["Makefile", "makefile", "GNUmakefile"]}
 
 # Files never read, folders never entered, and the size from which a file is large.
 SECRET_FILES = [".env", ".env.local", ".env.production", ".env.development"]
@@ -72,4 +97,6 @@ SYMBOLS = (
     "parent_name string, parent_id bigint, language string, checksum string, indexed_at timestamp"
 )
 CALLS = "id bigint, caller_id bigint, callee_name string, call_line int, file_path string"
-VECTORS = "symbol_id bigint, embedding array<float>"
+VECTORS = "symbol_id bigint, embedding array<float>, file_path string"
+POSTINGS = "term string, id bigint, field string, places array<int>, file_path string"
+LENGTHS = "id bigint, length bigint, file_path string"

@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+# Fixed value: the catalog's tables and views.
+_CATALOG = "select type, name, sql from sqlite_master where type in ('table', 'view') and name not like 'sqlite_%' order by type, name"
 _OUT = "file_path string, ordinal int, name string, kind string, start_line int, end_line int, signature string"
 
 
@@ -16,9 +18,7 @@ def _catalog(content: bytes) -> list[tuple]:
     db = sqlite3.connect(":memory:")
     try:
         db.deserialize(content)
-        return db.execute(
-            "select type, name, sql from sqlite_master where type in ('table', 'view') and name not like 'sqlite_%' order by type, name"
-        ).fetchall()
+        return db.execute(_CATALOG).fetchall()
     except sqlite3.Error:
         return []
     finally:

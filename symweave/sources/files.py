@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from symweave.functions.paths import basename, in_skipped_folder, is_secret, language_of, matches_any, relative_to
+from symweave.functions.paths import in_skipped_folder, is_secret, language_of, matches_any, relative_to
 from symweave.schemas import LARGE_FILE
 
 
@@ -21,7 +21,11 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     A query that leaves ``content`` out lists the files and doesn't read them. Empty files, which
     have nothing to index, aren't listed.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return _scanned(spark, root)
+
+
+def _scanned(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
     path = F.regexp_replace("path", "^file:/*", "/")
     return files.select(path.alias("file_path"), F.col("length").alias("file_size"), F.col("modificationTime").alias("mtime"), "content")
 
@@ -32,30 +36,76 @@ def blake2b_udf(content: pd.Series) -> pd.Series:
     return content.map(lambda b: hashlib.blake2b(b, digest_size=16).hexdigest() if b is not None else None)
 
 
-def ignore_patterns(lines: Sequence[str]) -> str | None:
-    """One regular expression for the relative paths that the lines of an ignore file exclude.
+def contents(spark: SparkSession, root: str, paths: DataFrame, few: int = 10_000) -> DataFrame:
+    """``file_path, content`` of the files of ``paths`` (``file_path``) below a root; no others are opened.
 
-    Comments and blank lines don't count, ``*`` stays within a folder, ``**`` doesn't, a slash
-    inside anchors the pattern at the root, a slash at the end means folders. Negations
-    (``!``) are left out.
+    Few paths are given to the reader; of more, the listing is joined with the paths and files
+    that aren't among them are read too.
     """
-    parts = []
+    names = [r[0] for r in paths.select("file_path").distinct().limit(few + 1).collect()]
+    if len(names) <= few:
+        return _scanned(spark, names).select("file_path", "content") if names else scan(spark, root).select("file_path", "content").limit(0)
+    return scan(spark, root).select("file_path", "content").join(paths.select("file_path").distinct(), "file_path")
+
+
+def small_text(spark: SparkSession, path: str) -> str | None:
+    """The text of one settings file, or None if it isn't there. Spark's own readers pass over names that begin with a dot."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+#: A line of an ignore file: what it matches, and whether it ignores that (or takes it back).
+Rule = tuple[str, bool]
+
+
+def ignore_rules(lines: Sequence[str]) -> list[Rule]:
+    """The rules of an ignore file, in order, as expressions for relative paths; those of folders end with a slash.
+
+    Comments and blank lines don't count, ``*`` stays within a folder, ``**`` doesn't, ``[...]``
+    is a class, a backslash takes the next sign as it is, a slash inside anchors the pattern at
+    the root, a slash at the end means folders, ``!`` takes back what lines before have ignored.
+    """
+    rules = []
     for line in lines:
-        line = line.rstrip("\n").strip()
-        if not line or line.startswith(("#", "!")):
+        line = re.sub(r"(?<!\\)\s+$", "", line.rstrip("\n"))
+        if not line or line.startswith("#"):
             continue
-        folder, pattern = line.endswith("/"), line.strip("/")
-        anchored = "/" in line.rstrip("/")
-        body = re.escape(pattern).replace(r"\*\*/", "(?:.*/)?").replace(r"\*\*", ".*").replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
-        parts.append(("^" if anchored else "(?:^|/)") + body + ("/" if folder else "(?:/|$)"))
-    return "|".join(parts) or None
+        back, line = line.startswith("!"), line.removeprefix("!")
+        pattern = line.strip("/")
+        parts = re.findall(r"\*\*/|/\*\*$|\*\*|\*|\?|\[!?\]?[^\]]*\]|\\.|.", pattern)
+        fixed = {"**/": "(?:.*/)?", "/**": "/.+", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+        body = "".join(fixed.get(p) or ("[" + p[1:].replace("!", "^", 1) if p[1] == "!" else p) if p.startswith("[") and len(p) > 1 else fixed.get(p) or re.escape(p[-1]) for p in parts)
+        rules.append((("^" if "/" in line.rstrip("/") else "^(?:.*/)?") + body + ("/$" if line.endswith("/") else "/?$"), not back))
+    return rules
+
+
+def is_ignored(relative: Column, rules: Sequence[Rule]) -> Column:
+    """Whether the last rule that matches a path ignores it, or ignores a folder that it lies in."""
+    parts = F.split(relative, "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.when(i < F.size(parts), "/").otherwise("")))
 
+    def last(path: Column) -> Column:
+        out = F.lit(False)
+        for pattern, ignores in rules:
+            out = F.when(path.rlike(pattern), ignores).otherwise(out)
+        return out
 
-def skip_reason(path: Column, relative: Column, *, ignored: str | None = None, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> Column:
+    return F.exists(above, last)
+
+
+def skip_reason(path: Column, relative: Column, *, ignored: Sequence[Rule] = (), include: Sequence[str] = (), exclude: Sequence[str] = ()) -> Column:
     """Why a file isn't indexed, or null if it is. The first reason that holds counts."""
     reason = F.when(in_skipped_folder(relative), "folder").when(is_secret(path), "secret file").when(language_of(path).isNull(), "unknown language")
     if ignored:
-        reason = reason.when(relative.rlike(ignored), "gitignored")
+        reason = reason.when(is_ignored(relative, ignored), "gitignored")
     if include:
         reason = reason.when(~matches_any(relative, include), "not in include")
     if exclude:
@@ -87,6 +137,3 @@ def line_range(text: Column, start: Column | int, end: Column | int) -> Column:
     first = F.greatest(start, F.lit(1))
     return F.array_join(F.slice(F.split(text, "\n"), first, F.greatest(end - first + 1, F.lit(0))), "\n")
 
-
-def is_named(path: Column, name: str) -> Column:
-    return basename(path) == name

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from symweave.functions.paths import dirname, in_skipped_folder, language_of, matches_any, suffix
 from symweave.operators import fusion, graph, vectors
 from symweave.plans.api import Index
-from symweave.sources.files import ignore_patterns, line_range, skip_reason
+from symweave.sources.files import ignore_rules, is_ignored, line_range, skip_reason
 
 PYTHON = '''import os
 
@@ -58,6 +58,7 @@ def tree(tmp_path_factory):
     (root / "node_modules/x.js").write_text("function x() {}\n")
     (root / ".env").write_text("KEY=1")
     (root / "skip.py").write_text("x = 1\n")
+    (root / ".gitignore").write_text("# c\nskip*\n!skip.md\n")
     db = sqlite3.connect(root / "app.db")
     db.execute("create table users (id integer primary key, name text)")
     db.commit()
@@ -68,7 +69,8 @@ def tree(tmp_path_factory):
 @pytest.fixture(scope="module")
 def index(spark, tree, tmp_path_factory):
     built = Index(spark, str(tree), str(tmp_path_factory.mktemp("index")), vectors.hashed_encoder(32))
-    built.build(ignored=ignore_patterns(["# c", "skip.py"])).collect()
+    row = built.build().head()
+    assert row.errors == 1 and row.error_details[0].file.endswith("bad.py") and "SyntaxError" in row.error_details[0].error
     return built
 
 
@@ -78,7 +80,7 @@ def test_symbols(index, tree):
     assert kinds == {
         ("a.py", "import os"): "import", ("a.py", "LIMIT"): "variable", ("a.py", "Store"): "class", ("a.py", "put"): "method",
         ("a.py", "check"): "function", ("b.go", "Box"): "class", ("b.go", "Fill"): "method", ("b.go", "helper"): "function",
-        ("conf.toml", "tool"): "section", ("conf.toml", "name"): "variable", ("README.md", "Title"): "section", ("README.md", "Part"): "section",
+        ("bad.py", "broken"): "function", ("conf.toml", "tool"): "section", ("conf.toml", "name"): "variable", ("README.md", "Title"): "section", ("README.md", "Part"): "section",
         ("app.db", "users"): "table",
     }
     put = rows["a.py", "put"]
@@ -102,11 +104,11 @@ def test_calls_and_lookups(index, tree):
 
 
 def test_incremental(index, tree):
-    counts = index.build(ignored="skip").head()
+    counts = index.build().head()
     assert (counts.indexed, counts.pruned, counts.unchanged) == (0, 0, 6)  # an empty file has nothing to index and isn't listed
     (tree / "src/b.go").write_text(GO.replace("helper", "other"))
     (tree / "README.md").unlink()
-    counts = index.update(ignored="skip").head()
+    counts = index.update().head()
     assert (counts.indexed, counts.pruned) == (1, 1)
     names = {r.name for r in index.store.table("symbols").collect()}
     assert "other" in names and "helper" not in names and "Title" not in names
@@ -176,3 +178,91 @@ def test_deep_nesting(spark):
     files = spark.createDataFrame([("a.js", "javascript", text), ("b.js", "javascript", text.replace("    ", "\t"))], "file_path string, language string, text string")
     got = {(r.file_path, r.name): (r.start_line, r.end_line) for r in by_rules(files).collect()}
     assert got == {(p, f"f{d}"): (d + 1, 25 - d) for p in ("a.js", "b.js") for d in depths}
+
+
+def test_ignore_rules(spark):
+    rules = ignore_rules(["# c", "", "*.log", "!keep.log", "/top.txt", "out/", "a/**/b", "x[0-9].py", "y[!a].py", "doc/*.md", "\\!odd", "!out/saved.py", "sp\\ "])
+    paths = {
+        "q.log": True, "d/q.log": True, "keep.log": False, "d/keep.log": False, "top.txt": True, "d/top.txt": False, "out/q.py": True, "d/out/q.py": True,
+        "out/saved.py": True, "out": False, "a/b": True, "a/x/y/b": True, "a/b/c.py": True, "x1.py": True, "xa.py": False, "yb.py": True, "ya.py": False,
+        "doc/a.md": True, "doc/d/a.md": False, "!odd": True, "sp ": True,
+    }
+    rows = spark.createDataFrame([(p,) for p in paths], "p string").select("p", is_ignored(F.col("p"), rules)).collect()
+    assert dict(tuple(r) for r in rows) == paths
+    assert not spark.range(1).select(is_ignored(F.lit("a"), [])).head()[0]
+
+
+def test_only_what_changed(spark, tmp_path):
+    """An update opens the changed files only, and other buckets keep theirs; readers see whole states."""
+    from symweave.sources.files import contents
+
+    root = tmp_path / "tree"
+    root.mkdir()
+    for k in range(12):
+        (root / f"m{k}.py").write_text(f"def f{k}():\n    return g{k}()\n")
+    index = Index(spark, str(root), str(tmp_path / "index"))
+    index.build()
+    before, old = index.store.manifest(), index.store.table("symbols")
+    (root / "m3.py").write_text("def changed():\n    pass\n")
+    opened = contents(spark, str(root), spark.createDataFrame([(str(root / "m3.py"),)], "file_path string"))
+    assert [Path(f).name for f in opened.inputFiles()] == ["m3.py"]
+    assert index.update().head().indexed == 1
+    after = index.store.manifest()
+    kept = sum(after["symbols"].get(b) == v for b, v in before["symbols"].items())
+    assert kept == len(before["symbols"]) - 1
+    assert old.count() == 12  # the reader's state is still there
+    assert {r.name for r in index.store.table("symbols").collect()} == {f"f{k}" for k in range(12) if k != 3} | {"changed"}
+    assert [r.name for r in index.full_text("changed").collect()] == ["changed"] and index.full_text("f3").count() == 0
+    (root / "m4.py").write_text("def fresh():\n    pass\n")
+    assert index.freshen(str(root / "m4.py")) and not index.freshen(str(root / "m4.py")) and index.get_symbol("fresh").count() == 1
+    (root / "m4.py").unlink()
+    assert index.freshen(str(root / "m4.py")) and index.get_symbol("fresh").count() == 0
+    assert index.store.vacuum(1) > 0 and index.store.vacuum(1) == 0 and index.store.table("symbols").count() == 11
+
+
+def test_isolated(spark):
+    from symweave.streaming.watch import isolated, snapshot_events
+
+    done, failed = [], []
+
+    def apply(files):
+        names = [r[0] for r in files.collect()]
+        if "bad" in names or "worse" in names:
+            raise ValueError
+        done.extend(names)
+
+    isolated(spark.createDataFrame([(x,) for x in ["a", "b", "bad", "c", "worse", "d"]], "file_path string"), apply, lambda path, e: failed.append(path))
+    assert sorted(done) == ["a", "b", "c", "d"] and sorted(failed) == ["bad", "worse"]
+    state = "file_path string, file_size bigint, mtime_ns bigint, checksum string"
+    was, is_ = [("a", 1, 1, None), ("b", 1, 1, None), ("c", 1, 1, None)], [("a", 1, 1, None), ("b", 2, 1, None), ("d", 1, 1, None)]
+    found = snapshot_events(spark.createDataFrame(was, state), spark.createDataFrame(is_, state)).collect()
+    assert {r.file_path: r.event for r in found} == {"b": "modified", "c": "deleted", "d": "created"}
+
+
+def test_json_array(spark, tmp_path):
+    from symweave.operators.lookup import export
+    from symweave.schemas import SYMBOLS
+
+    rows = [(k, f"n{k}", "function", f"f{k % 3}", k, k, 's "q"', None, None, None, "go", "c", None) for k in range(50)]
+    for name, data in (("some", rows), ("none", [])):
+        export(spark.createDataFrame(data, SYMBOLS), str(tmp_path / name), "array")
+        text = "\n".join(p.read_text() for p in sorted((tmp_path / name).glob("part-*")))
+        found = json.loads(text)
+        assert [x["start_line"] for x in found] == sorted(range(len(data)), key=lambda k: (k % 3, k))
+
+
+def test_code_only(spark):
+    from symweave.extract.symbols import symbols_and_calls
+
+    js = "function f() {\n  a(1); // b(2)\n  /* c(3)\n d(4) */ e('g(5)', \"h(6)\", `i(7)`);\n}\n"
+    rust = "fn k<'a>(x: &'a str) {\n    l('m', \"n(1)\"); // o(2)\n}\n"
+    md = "Title\n=====\n\nPart\n---\ntext\n\n```\n# not a heading\n```\n- item\n---\n"
+    bad = "class A:\n    def b(self):\n        return (\n"
+    rows = [("a.js", "javascript", js), ("b.rs", "rust", rust), ("c.md", "markdown", md), ("d.py", "python", bad)]
+    files = spark.createDataFrame([(*r, "sum") for r in rows], "file_path string, language string, text string, checksum string")
+    symbols, calls, errors = symbols_and_calls(files)
+    assert sorted((r.file_path, r.callee_name) for r in calls.collect()) == [("a.js", "a"), ("a.js", "e"), ("b.rs", "l")]
+    assert sorted((r.file_path, r.name, r.kind) for r in symbols.collect()) == [
+        ("a.js", "f", "function"), ("b.rs", "k", "function"), ("c.md", "Part", "section"), ("c.md", "Title", "section"), ("d.py", "A", "class"), ("d.py", "b", "method"),
+    ]
+    assert [r.file_path for r in errors.collect()] == ["d.py"]

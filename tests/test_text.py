@@ -53,7 +53,7 @@ def test_scores_are_those_of_the_independent_index(spark, query):
     got = [(r.id, r.score) for r in fulltext.match(tokens, query).collect()]
     assert dict(got) == pytest.approx(dict(want), abs=1e-6)
     tables = fulltext.postings(tokens), fulltext.row_lengths(tokens)
-    assert {r.id: r.score for r in fulltext.match_postings(*tables, fulltext.query_terms(query)).collect()} == pytest.approx(dict(got))
+    assert {r.id: r.score for r in fulltext.match_postings(*tables, fulltext.query_phrases(query)).collect()} == pytest.approx(dict(got))
 
 
 def test_phrase_prefix_column_any(spark):
