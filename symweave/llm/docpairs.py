@@ -46,8 +46,9 @@ PLAIN = set(
     """.split()
 )
 
-_TAG_TEXT = re.compile(r"@(?!deprecated\b|inheritdoc\b)[A-Za-z]\w*[^@\n]*|[@{]*@(?:deprecated|inheritdoc)\b\}?", re.I)
-_FIELD_TEXT = re.compile(r"(?m)(?:^|(?<=\s)):(?:param|parameter|arg|argument|return|returns|rtype|type|raises|yields|meta|var|ivar|cvar|key|keyword)\b[^:\n]*:(?:(?!\s:\w)[^\n])*", re.I)
+# What a tag says of the whole function or its result is kept; what it says of a parameter or type is none of the function's.
+_TAG_TEXT = re.compile(r"@(?:brief|summary|details|description|note|remarks?|returns?)\b[ \t]*|@(?!deprecated\b|inheritdoc\b)[A-Za-z]\w*[^@\n]*|[@{]*@(?:deprecated|inheritdoc)\b\}?", re.I)
+_FIELD_TEXT = re.compile(r"(?m)(?:^|(?<=\s)):returns?:|(?:^|(?<=\s)):(?:param|parameter|arg|argument|rtype|type|raises|yields|meta|var|ivar|cvar|key|keyword)\b[^:\n]*:(?:(?!\s:\w)[^\n])*", re.I)
 _HEADED = re.compile(
     r"(?mi)^[ \t]*(?:parameters|returns|raises|args|arguments|yields|attributes|other parameters)[ \t]*:?[ \t]*"
     r"(?:\n\s*(?:[-=~]{3,}\s*)?|[-=~]{3,}\s*)((?:[ \t]*[\w*]+(?:[ \t]*:[^\n]*)?[ \t]*(?:\n|\Z))*(?:[ \t]*(?:[\w*]+[ \t]+)+[\w*]+[ \t]*\Z)?)"

@@ -3,7 +3,7 @@
 A text is cut into segments, runs of lines of one shape. Thresholds on the segments' statistics
 are noisy labelling functions: each says prose, not prose, or nothing. How often each is right is
 learnt by expectation-maximisation from their agreements over all segments; the posterior of
-each segment then tells its type.
+each segment then tells its type. Each function votes by a statistic of its own.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ _VOWELS = frozenset("aeiouyäöüáéíóúàèâêîôû")
 _LONE = frozenset("bcdfghjklmnpqrstvwxz")
 
 FUNCTIONS = (
-    "bulleted", "symbols", "digits", "common", "repeated", "salad", "items", "sentences",
+    "bulleted", "order", "symbols", "digits", "common", "repeated", "salad", "items", "sentences",
     "wrapped", "odd_words", "parallel", "delimited", "connected",
 )
 
@@ -132,6 +132,8 @@ def votes(lines: list[str], common: frozenset[str]) -> tuple[list[int], dict[str
                     firsts[w] = firsts.get(w, 0) + 1
                     break
     parallel = max(firsts.values()) / n_lines if firsts and forced < 0.5 and (ended < 0.6 or n_lines >= 6) else 0.0
+    # Known words in a row: few where words stand in an order, as many as there are where they don't.
+    runs = sum(a and b for a, b in zip(known, known[1:])) / max(1, sum(known[:-1]))
     pipes = sum(x.count("|") + x.count("\t") for x in lines) / n_lines
     commas = text.count(",") / max(1, n)
     columns = sum(1 for x in lines if "   " in x.strip()) / n_lines
@@ -141,23 +143,23 @@ def votes(lines: list[str], common: frozenset[str]) -> tuple[list[int], dict[str
     listed = bulleted >= 0.6 or n_lines >= 3 and per_line <= 14 and (forced < 0.5 and (ended < 0.5 or per_line <= 4) or parallel >= 0.65)
     # Words out of order: hardly any articles among many common words, or articles before such words.
     salad = n >= 15 and share >= 0.28 and (len(articles) < 0.035 * n or misplaced >= 0.3)
-    whole = n >= 8 and not listed and not salad and variety >= 0.4 and marks < 0.06
 
     say = lambda yes, no: 1 if yes else (-1 if no else 0)
     out = [
         say(False, bulleted >= 0.6),
-        say(marks <= 0.02 and whole, marks >= 0.05),
+        say(n >= 15 and share >= 0.2 and runs <= 0.36, n >= 15 and share >= 0.28 and runs >= 0.42),
+        say(False, marks >= 0.05),
         say(False, digits / size >= 0.12),
-        say(share >= 0.28 and whole, share < 0.03 and connected < 0.12),
+        say(False, share < 0.03 and connected < 0.12),
         say(False, n >= 12 and variety < 0.4),
-        say(len(articles) >= 2 and misplaced <= 0.1 and whole, salad),
+        say(len(articles) >= 2 and misplaced <= 0.1, salad),
         say(False, n_lines >= 2 and forced < 0.5 and (per_line <= 6 and ended < 0.5 or per_line <= 3.2)),
-        say(sentences >= 0.6 and whole, sentences < 0.1 and connected < 0.12),
-        say(n_lines >= 3 and forced >= 0.8 and per_line >= 5 and whole, listed),
+        say(sentences >= 0.6, sentences < 0.1 and connected < 0.12),
+        say(n_lines >= 3 and forced >= 0.8 and per_line >= 5, listed),
         say(False, vowels + odd >= 0.25),
         say(False, n_lines >= 4 and parallel >= 0.65),
         say(False, pipes >= 1.5 or columns >= 0.5 or (commas >= 0.4 and n >= 6)),
-        say(connected >= 0.15 and whole, n >= 12 and connected < 0.02),
+        say(connected >= 0.15, n >= 12 and connected < 0.02),
     ]
     stats = {
         "words": n, "letters": letters, "marks": marks * size, "size": size, "lines": n_lines,
@@ -201,21 +203,22 @@ def segment_votes(documents: DataFrame, common_words: list[str]) -> DataFrame:
     return documents.select("doc_id", "text").where(F.col("text").rlike(r"\S")).mapInPandas(run, SEGMENTS)
 
 
-ANCHOR = 0.02
-MEANT = np.array([0.05, 0.6, 0.35])  # not prose, nothing, prose: what a function says of prose
+ANCHOR = 0.05
+MEANT = np.array([0.02, 0.6, 0.38])  # not prose, nothing, prose: what a function says of prose
 
 
-def learn(patterns: list[str], weights: np.ndarray, *, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+def learn(patterns: list[str], weights: np.ndarray, *, rounds: int = 60, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The posterior of prose of each pattern of votes, and each function's learnt accuracy.
 
     The functions are taken as independent given the type. A function that may say either, or
-    nothing, has a probability of each in prose and elsewhere. Begins with the majority's verdict;
+    nothing, has a probability of each in prose and elsewhere. Begins with the majority's verdict, or the given one;
     a small share ``ANCHOR`` of the evidence is what the functions are meant to say, so that the
     two types keep their meaning where one of them is rare.
     """
     v = np.array([["-0+".index(c) - 1 for c in p] for p in patterns]).reshape(len(patterns), -1)
     total = weights.sum()
     post = np.clip(0.5 + 0.3 * np.sign(np.where(v > 0, 1.0, np.where(v < 0, -1.5, 0)).sum(1)), 0.05, 0.95)
+    post = post if start is None else np.asarray(start, float)
     said = np.stack([v == -1, v == 0, v == 1], axis=2).astype(float)
     for _ in range(rounds):
         prior = np.clip((post * weights).sum() / total, 0.02, 0.98)
@@ -231,15 +234,18 @@ def learn(patterns: list[str], weights: np.ndarray, *, rounds: int = 60) -> tupl
     return post, accuracy
 
 
-def qualities(documents: DataFrame, common_words: DataFrame) -> DataFrame:
+def qualities(documents: DataFrame, common_words: DataFrame, *, most_words: int = 1_000_000) -> DataFrame:
     """One row for each document: its statistics, the share of its characters in prose and its type.
 
     ``words, mean_word_length, symbol_ratio, ended_lines, common_share`` are null for texts without
     words or characters; ``prose`` is the share of visible characters that lie in prose, 0 for null
     and blank texts, and ``kind`` prose or other. Copies count each. ``common_words`` (``word``) is
-    a short list and is given to every task.
+    a short list and is given to every task; a list of more than ``most_words`` isn't taken.
     """
-    words = [r["word"] for r in common_words.where("word is not null").select("word").distinct().limit(100_000).collect()]
+    known = common_words.where("word is not null").select("word").distinct()
+    if (n := known.count()) > most_words:
+        raise ValueError(f"{n} common words are more than {most_words}")
+    words = [r["word"] for r in known.collect()]
     found = cut(segment_votes(documents, words))
     # Bounded: at most three to the power of the number of functions, whatever the data.
     # A segment weighs the root of its length, so that a few long ones don't outweigh the rest.

@@ -22,8 +22,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Functions and methods whose docstring tells something."""
-    pairs = docpairs.pairs(table(spark, d, "symbols"))
-    return pairs.where("id = documented_id").select("id")
+    joined = docpairs.pairs(table(spark, d, "symbols"))
+    return joined.where("id = documented_id").select("id")
 
 
 def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -55,6 +55,16 @@ def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     return containers(p6_placements(spark, d), table(spark, d, "token_budgets"))
 
 
+def p6_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """For each capacity: the documents placed, containers filled beyond it, and documents in more parts than they need."""
+    placed = p6_placements(spark, d).join(table(spark, d, "token_budgets").groupBy("budget_id").agg(F.min("capacity").alias("capacity")), "budget_id")
+    fills = placed.groupBy("budget_id", "capacity", "container_id").agg(F.sum("n_tokens").alias("fill"))
+    over = fills.groupBy("budget_id").agg(F.count(F.when(F.col("fill") > F.col("capacity"), 1)).alias("overfull"))
+    texts = placed.groupBy("budget_id", "capacity", "doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("parts"))
+    split = F.count(F.when(F.col("parts") != F.ceil(F.col("n") / F.col("capacity")), 1)).alias("split_wrongly")
+    return texts.groupBy("budget_id").agg(F.count("*").alias("documents"), split).join(over, "budget_id")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that repeat passages of evaluation items, with the items."""
     return leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
@@ -85,9 +95,14 @@ QUERIES = {
     "p4_origins": p4_origins,
     "p6_placements": p6_placements,
     "p6_containers": p6_containers,
+    "p6_invariants": p6_invariants,
     "p7_found": p7_found,
     "p7_leaks_by_item": p7_leaks_by_item,
     "p8_found": p8_found,
     "p8_qualities": p8_qualities,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    # What holds of any solution.
+    "p6_invariants": """select budget_id, count(*) as documents, cast(0 as bigint) as overfull, cast(0 as bigint) as split_wrongly
+from (select distinct budget_id from token_budgets where capacity >= 1 and budget_id is not null) b, documents d where d.text <> '' group by budget_id""",
+}

@@ -15,6 +15,10 @@ YES = [
     ("<p>Merge the plan. Blocks until all readers are closed.</p>", "merge_plan", "def merge_plan():"),
     ("/// Sortiert die Namen und verwirft spätere Werte.", "run", "fn run()"),
     ("Calling it twice does no harm.", "close", "def close():"),
+    ("/**\n * @brief Reads ahead and checks the length.\n * @param x the x\n */", "take", "take(x) {"),
+    ("@return null if there are none", "take", "take(x) {"),
+    (":param x: the x\n:returns: the longest of them, or nothing", "take", "def take(x):"),
+    ("Возвращает самую длинную строку.", "take", "def take(x):"),
 ]
 NO = [
     (None, "f", "def f():"),

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from symweave.llm.quality import FUNCTIONS, learn, qualities, segments, votes
 
@@ -55,6 +56,31 @@ def test_accuracies_are_learnt():
     assert np.mean([which[p] == t for p, t in zip(patterns, truth)]) > 0.95
 
 
+def test_a_wrong_start_is_corrected():
+    """Where the majority is wrong, as most functions are weak and three are strong, the agreements still tell."""
+    r = np.random.default_rng(1)
+    truth = r.random(6000) < 0.5
+    right = [0.97, 0.97, 0.97] + [0.55] * 6
+    said = np.stack([np.where(r.random(6000) < p, truth, ~truth) for p in right], 1)
+    patterns = ["".join("+" if x else "-" for x in row) for row in said]
+    held = sorted(set(patterns))
+    weights = np.array([patterns.count(p) for p in held], float)
+    score = lambda post: np.mean([dict(zip(held, post >= 0.5))[p] == t for p, t in zip(patterns, truth)])
+    majority = np.array([p.count("+") > p.count("-") for p in held], float)
+    post, _ = learn(held, weights)
+    assert score(post) > 0.98 > 0.93 > score(majority)
+    # A start that takes a third of all patterns for the other type ends in the same place.
+    start = np.clip(np.where(r.random(len(held)) < 0.33, 1 - majority, majority), 0.2, 0.8)
+    other, _ = learn(held, weights, start=start)
+    assert ((post >= 0.5) == (other >= 0.5))[weights > 2].all()
+
+
+def test_long_lists_of_words_are_refused(spark):
+    words = spark.createDataFrame([("en", w) for w in COMMON], "lang string, word string")
+    with pytest.raises(ValueError, match="common words"):
+        qualities(spark.createDataFrame([(1, "a", "")], DOCS), words, most_words=3)
+
+
 def test_segments_and_votes():
     assert [len(s) for s in segments("a line of text\r\nanother one here\r\n\r\n- item\n- item\n{x}={y};[z]")] == [2, 2, 1]
     said, stats = votes(["The lock of the reader is closed."], frozenset(COMMON))
