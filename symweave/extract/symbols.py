@@ -18,7 +18,7 @@ from symweave.schemas import CALL_LANGUAGES
 from symweave.session import cut
 from symweave.sources.files import lines
 
-_CLOSING = re.compile(r"^\s*(?:[\]})]+[;,]?|end;?|fi|done|esac)\s*$", re.ASCII)
+_CLOSING = re.compile(r"^\s*(?:[\]})]+[;,]?|end;?|fi|done|esac|</[\w:.-]+>)\s*$", re.ASCII)
 _SEEN = re.compile(r"\S", re.ASCII)
 _COLUMNS = ["file_path", "language", "name", "kind", "start_line", "end_line", "signature", "docstring", "parent_name"]
 
@@ -46,6 +46,8 @@ def _placed_schema(files: DataFrame) -> T.StructType:
     return T.StructType([files.schema["file_path"], files.schema["language"], *[T.StructField(n, kind) for n, kind in added.items()]])
 
 
+#: Languages of sections without indentation: a section lasts until the next of its level.
+_SECTION = {"markdown": re.compile(r" {0,3}(#{1,6})\s"), "toml": re.compile(r"\s*(\[)"), "ini": re.compile(r"\s*(\[)")}
 _FENCE = re.compile(r" {0,3}(```|~~~)")
 _UNDERLINE = re.compile(r" {0,3}(=+|-+)\s*$")
 _PLAIN = re.compile(r" {0,3}[^\s#>|*+=-]")
@@ -75,14 +77,18 @@ def _placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             split = re.split("\r?\n", text)
             if language == "markdown":
                 split = _headings(split)
+            if len(split) > 1 and not split[-1]:
+                split.pop()  # what follows the last line end is no line
             out: list[tuple] = []
             open_: list[tuple[int, int]] = []
+            section = _SECTION.get(language)
             for no in range(len(split), 0, -1):
                 line = split[no - 1]
                 next_ = None
-                if _SEEN.search(line):
+                mark = section.match(line) if section else None
+                if mark or not section and _SEEN.search(line):
                     spaced = line.replace("\t", "    ")
-                    indent = len(spaced) - len(spaced.lstrip(" "))
+                    indent = len(mark.group(1)) if mark else len(spaced) - len(spaced.lstrip(" "))
                     while open_ and open_[-1][0] > indent:
                         open_.pop()
                     next_ = open_[-1][1] if open_ else None
@@ -101,7 +107,7 @@ def by_rules(files: DataFrame) -> DataFrame:
     """
     placed = files.where("text is not null").select("file_path", "language", "text").mapInPandas(_placed, _placed_schema(files))
     found = _declared(placed).where("name <> ''")
-    block = F.col("kind").isin("function", "method", "class", "section")
+    block = F.col("kind").isin("function", "method", "class", "section") & ~F.col("line").rlike(r"^[^{(]*(\([^()]*\)[^{(]*)*;\s*$")
     end = F.when(F.col("next_line").isNull(), F.col("last_line")).when(F.col("closes"), F.col("next_line")).otherwise(F.col("next_line") - 1)
     return found.select(
         "file_path",

@@ -32,11 +32,19 @@ def local_session(cores: int | str = "*", app: str = "symweave", **conf: str) ->
     return builder.getOrCreate()
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for a session, in case they can't import it."""
+    """Give the executors this package, once for a session, in case they can't import it.
+
+    Batches for Python are bounded in bytes, unless the session says how: 10,000 long texts are gigabytes.
+    """
     context = spark.sparkContext
     if getattr(context, "_symweave_shipped", False):
         return
+    if not context.getConf().contains(BATCH_BYTES):
+        spark.conf.set(BATCH_BYTES, str(64 * 1024 * 1024))
     package = Path(__file__).resolve().parent
     to = Path(tempfile.mkdtemp(prefix="symweave-package-"))
     context.addPyFile(shutil.make_archive(str(to / "symweave"), "zip", package.parent, package.name))
