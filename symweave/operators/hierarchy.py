@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symweave.session import cut, scratch
+from symweave.session import cut, is_cut, scratch
 
 CLASSES = 31  # line spans are ints
 
@@ -46,14 +46,22 @@ def parent_links(symbols: DataFrame) -> DataFrame:
     over the same lines are first reduced to the two smallest ids (two, as a row isn't its own
     parent).
     """
+    with scratch() as keep:
+        return keep(cut(_parent_links(symbols)))
+
+
+def _parent_links(symbols: DataFrame) -> DataFrame:
     rows = symbols.select("id", "name", "file_path", "start_line", "end_line", "parent_id", "parent_name")
     by_id = rows.join(rows.select(F.col("id").alias("parent_id"), F.lit(True).alias("there")), "parent_id", "left")
-    direct = by_id.select("id", F.when(F.col("there"), F.col("parent_id")).alias("direct"), *rows.columns[1:5], "parent_name")
+    direct = cut(by_id.select("id", F.when(F.col("there"), F.col("parent_id")).alias("direct"), *rows.columns[2:5], F.col("parent_name").alias("name")))
+    lines = "start_line <= end_line and start_line >= 0 and name is not null"
+    seeking = cut(direct.where(f"direct is null and {lines}").drop("direct"))
+    # Only rows of a file and name that are sought can enclose.
+    rows = cut(rows.where(lines).join(seeking.select("file_path", "name").distinct(), ["file_path", "name"]).select("id", "name", "file_path", "start_line", "end_line"))
     span = F.col("e") - F.col("s")
     size_class = F.floor(F.log2(F.greatest(span, F.lit(1)).cast("double"))).cast("int")
     spans = (
-        rows.where("start_line <= end_line and start_line >= 0 and name is not null")
-        .groupBy("file_path", "name", F.col("start_line").alias("s"), F.col("end_line").alias("e"))
+        rows.groupBy("file_path", "name", F.col("start_line").alias("s"), F.col("end_line").alias("e"))
         .agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"))
         .withColumn("class", size_class)
     )
@@ -78,8 +86,7 @@ def parent_links(symbols: DataFrame) -> DataFrame:
     )
     classes = spans.groupBy("file_path", "name").agg(F.collect_set("class").alias("classes"))  # at most CLASSES values
     seekers = (
-        direct.where("direct is null and parent_name is not null and start_line <= end_line and start_line >= 0")
-        .select("id", "file_path", F.col("parent_name").alias("name"), F.col("start_line").alias("cs"), F.col("end_line").alias("ce"))
+        seeking.select("id", "file_path", "name", F.col("start_line").alias("cs"), F.col("end_line").alias("ce"))
         .join(classes, ["file_path", "name"])
         .withColumn("class", F.explode("classes"))
         .withColumn("bin", line_bin("cs"))
@@ -111,6 +118,7 @@ def hierarchy(links: DataFrame, *, layers: int = 5, paths: bool = True) -> DataF
 
 
 def _hierarchy(links: DataFrame, layers: int, paths: bool, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    links = links if is_cut(links) else cut(links.select("id", "parent"))
     children = links.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("open"))
     one = F.lit(1).cast("bigint")
     # open: how many children haven't been peeled; what has none is the next layer.
@@ -128,7 +136,7 @@ def _hierarchy(links: DataFrame, layers: int, paths: bool, keep: Callable[[DataF
         return finished.select(_columns(paths))
     # Each node with the layer of its parent, in a folder for each: a layer reads the children of
     # the one above only, and every node is read and written once.
-    peeled = keep(cut(peeled))
+    peeled = keep(cut(peeled, "layer"))
     layer_of = peeled.select(F.col("id").alias("parent"), F.col("layer").alias("above"))
     below = cut(peeled.where("parent is not null").join(layer_of, "parent", "left").withColumn("above", F.coalesce("above", F.lit(top))), "above")
     path = [F.array("id").alias("path"), "size"] if paths else []

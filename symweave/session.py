@@ -93,6 +93,11 @@ def cut(df: DataFrame, *by: str) -> DataFrame:
     return table
 
 
+def is_cut(df: DataFrame) -> bool:
+    """Whether the rows are just those of a table that :func:`cut` has written."""
+    return "_symweave_cut" in vars(df)
+
+
 def _hadoop(spark: SparkSession, path: str) -> tuple:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
