@@ -29,16 +29,19 @@ class Index:
 
     def ignored(self, names: Sequence[str] = (".gitignore",)) -> list[Rule]:
         """The rules of the ignore files at the root that are there."""
-        return [rule for name in names for rule in ignore_rules((small_text(self.spark, f"{self.root}/{name}") or "").splitlines())]
+        return [rule for name in names for rule in ignore_rules((small_text(f"{self.root}/{name}") or "").splitlines())]
 
     def _listing(self, ignored: Sequence[Rule] | None = None, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> DataFrame:
-        files = scan(self.spark, self.root).drop("content")
+        files = scan(self.spark, self.root)
         kept = indexable(files, self.root, ignored=self.ignored() if ignored is None else ignored, include=include, exclude=exclude)
-        return kept.select("file_path", "language", "file_size", (F.unix_micros("mtime") * 1000).alias("mtime_ns"), F.lit(None).cast("string").alias("checksum"))
+        return kept.select("file_path", "language", "file_size", "mtime_ns", F.lit(None).cast("string").alias("checksum"))
 
     def _index(self, paths: DataFrame) -> list[dict[str, str]]:
-        """Index files and return those that couldn't be parsed; only these files are read, and only their buckets written."""
-        content = contents(self.spark, self.root, paths).join(paths, "file_path")
+        """Index files and return those that couldn't be read or parsed; only these files are read, and only their buckets written."""
+        read = cut(contents(paths))
+        unread = read.where("content is null").select("file_path", "error")
+        paths = paths.join(unread, "file_path", "left_anti")  # to be tried again
+        content = read.drop("error").join(paths, "file_path")
         catalogs = content.where("language = 'sqlite'")
         texts = cut(decoded(content.where("language <> 'sqlite'").select("file_path", "language", "file_size", "mtime_ns", "content")))
         symbols, calls, errors = symbols_and_calls(texts)
@@ -61,7 +64,7 @@ class Index:
         if self.encoder:
             more["vectors"] = vectors.encoded(symbols, self.encoder).join(symbols.select(F.col("id").alias("symbol_id"), "file_path"), "symbol_id")
         self.store.replace_files(cut(rows), symbols=symbols, calls=calls, **more)
-        return [r.asDict() for r in errors.orderBy("file_path").collect()]  # one row for each file that has changed and is broken
+        return [r.asDict() for r in errors.union(unread).orderBy("file_path").collect()]  # one row for each file that has changed and is broken
 
     def _done(self, status: DataFrame, errors: list[dict[str, str]], **options) -> DataFrame:
         """The counts of a run with the number of errors and the first ten."""
@@ -96,7 +99,7 @@ class Index:
             listing = cut(self._listing(ignored))
             stored = self.store.table("files")
             differing = freshness.compared(stored, listing, by_checksum=False).where("status in ('new', 'stale')").select("file_path")
-            sums = contents(self.spark, self.root, cut(differing)).select("file_path", blake2b_udf("content").alias("sum"))
+            sums = contents(differing).select("file_path", blake2b_udf("content").alias("sum"))
             hashed = cut(listing.join(sums, "file_path", "left").withColumn("checksum", F.col("sum")).drop("sum"))
             status = keep(cut(freshness.compared(stored, hashed)))
             seen = cut(hashed.join(status.where("status = 'touched'").select("file_path"), "file_path"))
@@ -149,7 +152,7 @@ class Index:
         return lookup.by_name(self.store.table("symbols"), name, file_path)
 
     def _text(self, file_path: str) -> DataFrame:
-        return decoded(scan(self.spark, file_path).select("file_path", "content")).select("file_path", "text")
+        return decoded(contents(self.spark.createDataFrame([(file_path,)], "file_path string"))).select("file_path", "text")
 
     def read_symbol_body(self, name: str, file_path: str) -> DataFrame:
         return lookup.bodies(lookup.by_name(self.store.table("symbols"), name, file_path), self._text(file_path))

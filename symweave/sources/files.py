@@ -4,30 +4,80 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from symweave.functions.paths import in_skipped_folder, is_secret, language_of, matches_any, relative_to
-from symweave.schemas import LARGE_FILE
+from symweave.schemas import LARGE_FILE, SKIPPED_FOLDERS
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """``file_path, file_size, mtime, content`` of all files below a root.
+_LISTED = "file_path string, file_size bigint, mtime_ns bigint"
 
-    A query that leaves ``content`` out lists the files and doesn't read them. Empty files, which
-    have nothing to index, aren't listed.
+
+def _entries(folder: str) -> tuple[list[tuple[str, int, int]], list[str]]:
+    """The files and the folders to go on with of a folder, of any file system that Arrow can read. What can't be read is empty."""
+    source, path = fs.FileSystem.from_uri(folder)
+    files, folders = [], []
+    for e in source.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+        if e.type == fs.FileType.File:
+            files.append((e.path, e.size, e.mtime_ns))
+        elif e.type == fs.FileType.Directory and not e.base_name.startswith(".") and e.base_name not in SKIPPED_FOLDERS:
+            folders.append(e.path)
+    return files, folders
+
+
+def scan(spark: SparkSession, root: str, tasks: int = 64) -> DataFrame:
+    """``file_path, file_size, mtime_ns`` of all files below a root, empty ones and hidden names too.
+
+    Hidden folders and those that are never entered aren't listed at all. The driver goes down
+    until there are folders for all tasks, which list the rest.
+    """
+    files, folders = [], [root]
+    while folders and len(folders) < tasks:
+        found, below = _entries(folders.pop(0))
+        files += found
+        folders += below
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in _LISTED.split(", ")]
+        for b in batches:
+            open_ = b["folder"].tolist()
+            while open_:
+                found, below = _entries(open_.pop())
+                open_ += below
+                yield pd.DataFrame(found, columns=names)
+
+    seen = spark.createDataFrame(files, _LISTED)  # of the few folders at the top
+    if not folders:
+        return seen
+    rest = spark.createDataFrame([(f,) for f in folders], "folder string").repartition(min(tasks, len(folders)))
+    return seen.union(rest.mapInPandas(walk, _LISTED))
+
+
+def contents(paths: DataFrame) -> DataFrame:
+    """``file_path, content, error`` of the files of ``paths`` (``file_path``); no others are opened.
+
+    Of a file that can't be read the content is null and the error says why.
     """
-    return _scanned(spark, root)
 
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for file_path in b["file_path"]:  # a row at a time, as files are of any size
+                content, error = None, None
+                try:
+                    source, path = fs.FileSystem.from_uri(file_path)
+                    with source.open_input_stream(path) as stream:
+                        content = stream.read()
+                except OSError as e:
+                    error = f"{type(e).__name__}: {e}"
+                yield pd.DataFrame({"file_path": [file_path], "content": [content], "error": [error]})
 
-def _scanned(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    path = F.regexp_replace("path", "^file:/*", "/")
-    return files.select(path.alias("file_path"), F.col("length").alias("file_size"), F.col("modificationTime").alias("mtime"), "content")
+    return paths.select("file_path").distinct().mapInPandas(read, "file_path string, content binary, error string")
 
 
 @F.pandas_udf(T.StringType())
@@ -36,30 +86,14 @@ def blake2b_udf(content: pd.Series) -> pd.Series:
     return content.map(lambda b: hashlib.blake2b(b, digest_size=16).hexdigest() if b is not None else None)
 
 
-def contents(spark: SparkSession, root: str, paths: DataFrame, few: int = 10_000) -> DataFrame:
-    """``file_path, content`` of the files of ``paths`` (``file_path``) below a root; no others are opened.
-
-    Few paths are given to the reader; of more, the listing is joined with the paths and files
-    that aren't among them are read too.
-    """
-    names = [r[0] for r in paths.select("file_path").distinct().limit(few + 1).collect()]
-    if len(names) <= few:
-        return _scanned(spark, names).select("file_path", "content") if names else scan(spark, root).select("file_path", "content").limit(0)
-    return scan(spark, root).select("file_path", "content").join(paths.select("file_path").distinct(), "file_path")
-
-
-def small_text(spark: SparkSession, path: str) -> str | None:
-    """The text of one settings file, or None if it isn't there. Spark's own readers pass over names that begin with a dot."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(at):
-        return None
-    stream = fs.open(at)
+def small_text(path: str) -> str | None:
+    """The text of one settings file, or None if it isn't there."""
+    source, path = fs.FileSystem.from_uri(path)
     try:
-        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
+        with source.open_input_stream(path) as stream:
+            return stream.read().decode("utf-8", "replace")
+    except FileNotFoundError:
+        return None
 
 
 #: A line of an ignore file: what it matches, and whether it ignores that (or takes it back).

@@ -105,7 +105,7 @@ def test_calls_and_lookups(index, tree):
 
 def test_incremental(index, tree):
     counts = index.build().head()
-    assert (counts.indexed, counts.pruned, counts.unchanged) == (0, 0, 6)  # an empty file has nothing to index and isn't listed
+    assert (counts.indexed, counts.pruned, counts.unchanged) == (0, 0, 7)  # an empty file is tracked, without symbols
     (tree / "src/b.go").write_text(GO.replace("helper", "other"))
     (tree / "README.md").unlink()
     counts = index.update().head()
@@ -204,8 +204,8 @@ def test_only_what_changed(spark, tmp_path):
     index.build()
     before, old = index.store.manifest(), index.store.table("symbols")
     (root / "m3.py").write_text("def changed():\n    pass\n")
-    opened = contents(spark, str(root), spark.createDataFrame([(str(root / "m3.py"),)], "file_path string"))
-    assert [Path(f).name for f in opened.inputFiles()] == ["m3.py"]
+    one = contents(spark.createDataFrame([(str(root / "m3.py"),), (str(root / "absent.py"),)], "file_path string"))
+    assert {Path(r.file_path).name: (r.content is None, r.error is None) for r in one.collect()} == {"m3.py": (False, True), "absent.py": (True, False)}
     assert index.update().head().indexed == 1
     after = index.store.manifest()
     kept = sum(after["symbols"].get(b) == v for b, v in before["symbols"].items())
@@ -266,3 +266,18 @@ def test_code_only(spark):
         ("a.js", "f", "function"), ("b.rs", "k", "function"), ("c.md", "Part", "section"), ("c.md", "Title", "section"), ("d.py", "A", "class"), ("d.py", "b", "method"),
     ]
     assert [r.file_path for r in errors.collect()] == ["d.py"]
+
+
+def test_scan(spark, tmp_path):
+    """Names that begin with an underscore or a dot are listed, folders never entered aren't, however wide or deep the tree is."""
+    from symweave.sources.files import scan
+
+    names = ["__init__.py", ".env", "a b.py", "_x/y.py", "src/deep/er/and/er/z.py", *(f"d{k}/e/f{k}.py" for k in range(9))]
+    for name in [*names, "node_modules/x.js", ".git/y", "src/__pycache__/z.pyc"]:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("" if name == "__init__.py" else "x")
+    for tasks in (1, 4, 64):
+        rows = scan(spark, str(tmp_path), tasks).collect()
+        assert sorted(r.file_path for r in rows) == sorted(str(tmp_path / n) for n in names)
+    assert {r.file_path.rsplit("/", 1)[1]: r.file_size for r in rows}["__init__.py"] == 0
+    assert all(r.mtime_ns == (Path(r.file_path)).stat().st_mtime_ns for r in rows)
