@@ -71,32 +71,42 @@ def _headings(split: list[str]) -> list[str]:
 
 def _placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The lines of each text with its last line, the next one indented as little, and whether that only closes a block."""
-    columns = ["file_path", "language", "line_no", "line", "last_line", "next_line", "closes"]
+    done: list[tuple] = []
     for b in batches:
         for path, language, text in zip(b["file_path"], b["language"], b["text"]):
-            split = re.split("\r?\n", text)
-            if language == "markdown":
-                split = _headings(split)
-            if len(split) > 1 and not split[-1]:
-                split.pop()  # what follows the last line end is no line
-            out: list[tuple] = []
-            open_: list[tuple[int, int]] = []
-            section = _SECTION.get(language)
-            for no in range(len(split), 0, -1):
-                line = split[no - 1]
-                next_ = None
-                mark = section.match(line) if section else None
-                if mark or not section and _SEEN.search(line):
-                    spaced = line.replace("\t", "    ")
-                    indent = len(mark.group(1)) if mark else len(spaced) - len(spaced.lstrip(" "))
-                    while open_ and open_[-1][0] > indent:
-                        open_.pop()
-                    next_ = open_[-1][1] if open_ else None
-                    open_.append((indent, no))
-                out.append((path, language, no, line, len(split), next_, next_ is not None and bool(_CLOSING.search(split[next_ - 1]))))
-            rows = pd.DataFrame(out[::-1], columns=columns)
-            rows["next_line"] = rows["next_line"].astype("Int32")
-            yield rows
+            done += _placed_lines(path, language, text)
+            if len(done) >= 20_000:
+                yield _frame(done)
+                done = []
+    yield _frame(done)
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["file_path", "language", "line_no", "line", "last_line", "next_line", "closes"]).astype({"next_line": "Int32"})
+
+
+def _placed_lines(path: str, language: str, text: str) -> list[tuple]:
+    split = re.split("\r?\n", text)
+    if language == "markdown":
+        split = _headings(split)
+    if len(split) > 1 and not split[-1]:
+        split.pop()  # what follows the last line end is no line
+    out: list[tuple] = []
+    open_: list[tuple[int, int]] = []
+    section = _SECTION.get(language)
+    for no in range(len(split), 0, -1):
+        line = split[no - 1]
+        next_ = None
+        mark = section.match(line) if section else None
+        if mark or not section and _SEEN.search(line):
+            spaced = line.replace("\t", "    ")
+            indent = len(mark.group(1)) if mark else len(spaced) - len(spaced.lstrip(" "))
+            while open_ and open_[-1][0] > indent:
+                open_.pop()
+            next_ = open_[-1][1] if open_ else None
+            open_.append((indent, no))
+        out.append((path, language, no, line, len(split), next_, next_ is not None and bool(_CLOSING.search(split[next_ - 1]))))
+    return out[::-1]
 
 
 def by_rules(files: DataFrame) -> DataFrame:
@@ -145,7 +155,7 @@ def extracted(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.trim(F.get("_lines", F.col("start_line") - 1)).alias("signature"), "docstring", "parent_name",
     )
     broken = texts.join(python.where("kind = 'error'").select("file_path"), "file_path", "left_semi")
-    ruled = by_rules(texts.where("language <> 'python'").union(broken))
+    ruled = cut(by_rules(texts.where("language <> 'python'").union(broken)))
     classes = ruled.where("kind in ('class', 'section')").select(F.xxhash64("file_path", "start_line", "name").alias("id"), "file_path", "start_line", "end_line", "name")
     within = enclosing(ruled.withColumn("line", F.col("start_line") - 1).where("line > 0"), classes).where(F.col("end_line") > 0)
     parents = within.join(classes.select(F.col("id").alias("caller_id"), F.col("name").alias("parent_name"), F.col("end_line").alias("_end")), "caller_id")

@@ -16,6 +16,7 @@ from symweave.functions.paths import in_skipped_folder, is_secret, language_of,
 from symweave.schemas import LARGE_FILE, SKIPPED_FOLDERS
 
 
+BATCH = 16 * 1024 * 1024  # bytes of contents that are handed on together, but for a file that is longer
 _LISTED = "file_path string, file_size bigint, mtime_ns bigint"
 
 
@@ -66,8 +67,9 @@ def contents(paths: DataFrame) -> DataFrame:
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for b in batches:
-            for file_path in b["file_path"]:  # a row at a time, as files are of any size
+            for file_path in b["file_path"]:
                 content, error = None, None
                 try:
                     source, path = fs.FileSystem.from_uri(file_path)
@@ -75,7 +77,12 @@ def contents(paths: DataFrame) -> DataFrame:
                         content = stream.read()
                 except OSError as e:
                     error = f"{type(e).__name__}: {e}"
-                yield pd.DataFrame({"file_path": [file_path], "content": [content], "error": [error]})
+                held.append((file_path, content, error))
+                size += len(content or b"")
+                if size >= BATCH:
+                    yield pd.DataFrame(held, columns=["file_path", "content", "error"])
+                    held, size = [], 0
+        yield pd.DataFrame(held, columns=["file_path", "content", "error"])
 
     return paths.select("file_path").distinct().mapInPandas(read, "file_path string, content binary, error string")
 
