@@ -1,8 +1,9 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from symweave.llm import additive
-from symweave.llm.neighbours import nearest, pack, pairs, unpack
+from symweave.llm.neighbours import _blocks, nearest, pack, pairs, unpack
 
 ROW = "id bigint, embedding array<float>, h string"
 
@@ -97,3 +98,27 @@ def test_sample_of_few_usable_rows(spark):
     v = vectors(60, 4, 5)
     rows = [(i, x, "") for i, x in enumerate(v)] + [(7, v[7], "")] * 800 + [(1000 + i, [0.0] * 4, "") for i in range(800)]
     assert found(spark, rows, 4, 3, sample_rows=40) == brute(rows, 4, 3)
+
+
+def test_places_of_the_least():
+    """Equal numbers and what is no number don't change how many places come."""
+    scores = np.random.default_rng(0).normal(size=(4, 50)).astype(np.float32)
+    scores[1, :30] = -9.0
+    scores[2] = np.nan
+    scores[2, 7:9] = 1.0
+    got = additive.least(scores, 5)
+    assert got.shape == (4, 5) and all(len(set(row)) == 5 for row in got.tolist())
+    assert all(set(got[q]) == set(np.argsort(scores[q])[:5]) for q in (0, 3)) and got[1].max() < 30 and {7, 8} <= set(got[2])
+
+
+def test_vectors_are_dealt_in_large_lots():
+    """Many regions don't make rows of a vector or two, and each vector goes once to each of its regions."""
+    x = np.random.default_rng(1).normal(size=(9000, 8)).astype(np.float32)
+    books = additive.train(x[:3000], 100, levels=2, entries=8, depth=1, rows=90_000, region_rows=100)
+    lists = pa.ListArray.from_arrays(np.arange(0, 8 * 9000 + 1, 8, dtype=np.int32), x.ravel())
+    whole = pa.record_batch([pa.array(range(9000)), pa.array(range(9000)), lists], ["id", "h", "embedding"])
+    got = list(_blocks(books, 8, 3, 2, 1.4)(whole.slice(a, 900) for a in range(0, 9000, 900)))
+    regions = [r for b in got for r in b.column("region").to_pylist()]
+    assert books.regions > 100 and len(regions) == len(set(regions))
+    sent = [(r["region"], i) for b in got for r in b.to_pylist() for i in np.frombuffer(r["ids"], np.int64)]
+    assert len(sent) == len(set(sent)) and {i for _, i in sent} == set(range(9000))
