@@ -118,7 +118,18 @@ def test_vectors_are_dealt_in_large_lots():
     lists = pa.ListArray.from_arrays(np.arange(0, 8 * 9000 + 1, 8, dtype=np.int32), x.ravel())
     whole = pa.record_batch([pa.array(range(9000)), pa.array(range(9000)), lists], ["id", "h", "embedding"])
     got = list(_blocks(books, 8, 3, 2, 1.4)(whole.slice(a, 900) for a in range(0, 9000, 900)))
-    regions = [r for b in got for r in b.column("region").to_pylist()]
+    regions = [(r["region"], r["part"]) for b in got for r in b.to_pylist()]
     assert books.regions > 100 and len(regions) == len(set(regions))
-    sent = [(r["region"], i) for b in got for r in b.to_pylist() for i in np.frombuffer(r["ids"], np.int64)]
-    assert len(sent) == len(set(sent)) and {i for _, i in sent} == set(range(9000))
+    sent = [(r["region"], r["part"], i) for b in got for r in b.to_pylist() for i in np.frombuffer(r["ids"], np.int64)]
+    assert len(sent) == len(set(sent)) and {i for *_, i in sent} == set(range(9000))
+
+
+def test_queries_of_a_full_region_are_shared(spark):
+    """A region that can't be cut is answered in several tasks, with the same neighbours."""
+    x = np.round(np.random.default_rng(2).normal(size=(2000, 8)) * 64).astype(np.float32) / 64
+    x[200:] = x[200:] * 0.125 + 4  # nine tenths lie in one cell
+    books = additive.train(x, 2, levels=3, entries=8, rows=2000, region_rows=300)
+    held = np.bincount(books.names(books.encode(x, 2, 1)[2])[1][:, 0], minlength=books.regions)
+    assert len(books.tasks) == books.regions and books.tasks.max() >= 3 and (held / books.tasks).max() <= 700
+    rows = [(i, v, "") for i, v in enumerate(x[::2].tolist())]
+    assert found(spark, rows, 8, 5, cell_rows=500, region_rows=50, shortlist=900) == brute(rows, 8, 5)
